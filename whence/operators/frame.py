@@ -150,6 +150,18 @@ class LineageFrame:
         colmap = {name: self.reads(*inputs) for name, (_, inputs) in outputs.items()}
         return replace(self, df=self.df.select(*exprs, *self.pointers), colmap=colmap)
 
+    def winner(self, name: str, which: str, *columns: str) -> "LineageFrame":
+        """Largest of several columns, and the cell it came from (first on ties).
+
+        Which input wins depends on the data, so it is a column; the static map
+        still lists all of them."""
+        best = F.greatest(*columns)
+        label = F.lit(None).cast("string")
+        for c in reversed(columns):
+            text = ",".join(sorted(f"{ds}.{col}" for ds, col in self.reads(c)))
+            label = F.when(F.col(c) == best, text).otherwise(label)
+        return self.derive(name, best, columns).derive(which, label, columns)
+
     def flat_map(self, name: str, items: Column, inputs: Sequence[str]) -> "LineageFrame":
         """One row per item of an array expression; each inherits its row's lineage."""
         df = self.df.select("*", F.explode(items).alias(name))
@@ -264,6 +276,22 @@ class LineageFrame:
         names = [F.col(h).alias(h.split("__", 2)[2]) for h in leg.columns]
         return df.select(*names, *rids)
 
+    def edge_counts(self, name: str = "n_rows") -> DataFrame:
+        """Contributing rows per group, combined map side."""
+        edges = self.edges()
+        keys = [c for c in edges.columns if not c.endswith("_rid")]
+        return edges.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    def to_cells(self) -> DataFrame:
+        """Long form of a source: ds, col, rid, value (as text)."""
+        (leg,) = self.legs
+        rid = pointer_text(self.df, leg.columns).alias("rid")
+        texts = [F.col(c).cast("string").alias(c) for c in self.visible]
+        wide = self.df.select(rid, *texts)
+        return wide.unpivot("rid", self.visible, "col", "value").select(
+            F.lit(leg.name).alias("ds"), "col", "rid", "value"
+        )
+
     def trace_ids(self, flagged: Column | None = None) -> dict[str, DataFrame]:
         """Backward trace: per source, the distinct keys behind the flagged rows.
 

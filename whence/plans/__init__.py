@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("apps", "decision")
+MODULES = ("apps", "decision", "lineage")
 
 
 def load() -> None:

@@ -35,9 +35,10 @@ def fields(line: Column | str, delimiter: str = ",", quotes: bool = False) -> Co
 
 
 def parse(
-    lines: DataFrame, schema: T.StructType, delimiter: str = ",", quotes: bool = False, strict: bool = False
+    lines: DataFrame, schema: T.StructType | str, delimiter: str = ",", quotes: bool = False, strict: bool = False
 ) -> DataFrame:
     """Typed columns from ``value``. A bad field is NULL, or an error if ``strict``."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     parts = lines.select("*", fields("value", delimiter, quotes).alias("__f"))
     out = []
     for i, field in enumerate(schema):
