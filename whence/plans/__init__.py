@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("apps", "decision", "lineage")
+MODULES = ("apps", "decision", "lineage", "codependence")
 
 
 def load() -> None:

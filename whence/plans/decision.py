@@ -12,10 +12,13 @@ from whence.plans.registry import LI_RID, query
 from whence.plans.skew import with_group_stats
 from whence.sources.tables import ROW_KEYS, Tables
 
-NET = F.col("l_extendedprice") * (1 - F.col("l_discount"))
 NET_SQL = "l_extendedprice * (1 - l_discount)"
 
 
+def net() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
 def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -36,7 +39,7 @@ def tpcds_q1(t: Tables) -> DataFrame:
     totals = (
         returned.join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("o_custkey", "l_suppkey")
-        .agg(F.sum(NET).alias("total"))
+        .agg(F.sum(net()).alias("total"))
     )
     compared = with_group_stats(totals, ["l_suppkey"], [F.avg("total").alias("mean")], ["o_custkey", "l_suppkey"])
     above = compared.where("total > 1.2 * mean").select(F.col("o_custkey").alias("c_custkey"))
@@ -53,7 +56,7 @@ def tpcds_q3(t: Tables) -> DataFrame:
     )
     return (
         rows.groupBy(F.year("o_orderdate").alias("year"), "p_brand")
-        .agg(F.round(F.sum(NET), 4).alias("revenue"))
+        .agg(F.round(F.sum(net()), 4).alias("revenue"))
         .orderBy("year", F.desc("revenue"), "p_brand")
         .limit(100)
     )
@@ -218,7 +221,7 @@ def tpcds_q19(t: Tables) -> DataFrame:
         .where("c_nationkey <> s_nationkey")
     )
     return (
-        rows.groupBy("p_brand", "p_type").agg(F.round(F.sum(NET), 4).alias("revenue"))
+        rows.groupBy("p_brand", "p_type").agg(F.round(F.sum(net()), 4).alias("revenue"))
         .orderBy(F.desc("revenue"), "p_brand", "p_type").limit(100)
     )
 
