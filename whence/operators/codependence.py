@@ -129,7 +129,7 @@ def drop_subsets(relation: DataFrame, transitive: Sequence[str] | None = None) -
     all). A group inside another shares its rarest cell with it, so only the
     groups on that cell are candidates; no cell lists all its pairs of groups.
     """
-    cells = relation.select(*COLUMNS).distinct()
+    cells = durable(relation.select(*COLUMNS).distinct())
     sized = durable(
         with_group_stats(cells, ["group_id", "op"], [F.count(F.lit(1)).alias("n")], CELL)
     )
@@ -171,6 +171,7 @@ def _without_copies(sized: DataFrame) -> DataFrame:
         .select(F.col("group_id").alias("sub"), "sup", F.col("n").alias("sub_n"))
     )
     # Signatures only propose; the cells decide.
+    pairs = durable(pairs)
     others = sized.select(F.col("group_id").alias("sup"), *CELL)
     same = _covered(sized, pairs, others).select(F.col("sub").alias("group_id"))
     return keyed_join(sized, same, ["group_id"], CELL, "left_anti")
@@ -196,8 +197,9 @@ def merge_overlaps(relation: DataFrame, unit: Sequence[str] = CELL, max_rounds:
     The component is named by its least cell. ``unit=("ds", "rid")`` merges on
     rows instead of cells.
     """
-    node = F.concat_ws("|", *unit)
-    equal = relation.where("op = '=='").select("group_id", node.alias("node"), *unit).distinct()
+    # The row id leads: long common prefixes make comparisons slow.
+    node = F.concat_ws("|", *reversed(list(unit)))
+    equal = durable(relation.where("op = '=='").select("group_id", node.alias("node"), *unit).distinct())
     named = durable(with_group_stats(equal, ["group_id"], [F.min("node").alias("root")], ["node"]))
     nodes = named.select("node", *unit).distinct()
     links = named.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))

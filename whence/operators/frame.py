@@ -62,7 +62,7 @@ def pointer_text(df: DataFrame, columns: Sequence[str]) -> Column:
     for name in columns:
         kind = df.schema[name].dataType
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            parts.append(F.date_format(name, "yyyy-MM-dd"))
+            parts.append(F.col(name).cast("date").cast("string"))
         else:
             parts.append(F.col(name).cast("string"))
     return F.concat_ws("-", *parts)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("apps", "decision", "lineage", "codependence")
+MODULES = ("apps", "decision", "lineage", "codependence", "perturbation", "comparison", "generation")
 
 
 def load() -> None:

@@ -15,7 +15,7 @@ LI_KEY = ROW_KEYS["lineitem"]
 
 
 def li_rid() -> Column:
-    return F.concat_ws("-", *LI_KEY[:-1], F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return F.concat_ws("-", *LI_KEY[:-1], F.col("l_shipdate").cast("date").cast("string"))
 
 
 def age(balance: str = "c_acctbal") -> Column:

@@ -117,8 +117,8 @@ def codep_drop_subsets(t: Tables) -> DataFrame:
     return C.drop_subsets(overlapping(t)).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT group_id, ds || '|' || rid AS node FROM ({ORDER_KEYS_SQL})
-    UNION SELECT group_id, ds || '|' || rid FROM ({LINE_KEYS_SQL})),
+@query(f"""WITH RECURSIVE g AS (SELECT group_id, rid || '|' || ds AS node FROM ({ORDER_KEYS_SQL})
+    UNION SELECT group_id, rid || '|' || ds FROM ({LINE_KEYS_SQL})),
   link AS (SELECT DISTINCT node, min(node) OVER (PARTITION BY group_id) AS root FROM g),
   both_ways AS (SELECT node AS a, root AS b FROM link UNION SELECT root, node FROM link),
   reach AS (SELECT DISTINCT node AS a, node AS b FROM g

@@ -239,5 +239,5 @@ def disjunctive_filter(t: Tables) -> DataFrame:
     )
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).where(wanted)
     key = ROW_KEYS["lineitem"]
-    rid = F.concat_ws("-", *key[:-1], F.date_format("l_shipdate", "yyyy-MM-dd"))
+    rid = F.concat_ws("-", *key[:-1], F.col("l_shipdate").cast("date").cast("string"))
     return rows.select(rid.alias("rid"), "p_partkey")

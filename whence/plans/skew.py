@@ -16,12 +16,25 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 512
 PART_ROWS = 1_000_000
+SAMPLE_EVERY = 64
 LIST_ROWS = 10_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
-    """The heaviest keys (at most HOT_KEYS rows) and how many parts each needs."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+def hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    part_rows: int = PART_ROWS,
+    every: int = SAMPLE_EVERY,
+) -> DataFrame:
+    """The heaviest keys (at most HOT_KEYS rows) and how many parts each needs.
+
+    Counts a hash sample of the row ids, so finding them shuffles next to
+    nothing. The sample decides only how a key is spread, never which rows are
+    kept, and being a function of the row it is the same wherever it is evaluated.
+    """
+    sampled = df.where(F.pmod(F.xxhash64(F.lit("hot"), *spread), F.lit(every)) == 0)
+    counts = sampled.groupBy(*keys).agg((F.count(F.lit(1)) * every).alias("__n"))
     return (
         counts.where(F.col("__n") > part_rows)
         .orderBy(F.desc("__n"), *keys)
@@ -44,18 +57,20 @@ def keyed_join(
     spread: Sequence[str],
     how: str = "inner",
     part_rows: int = PART_ROWS,
+    every: int = SAMPLE_EVERY,
 ) -> DataFrame:
     """Join ``big`` to ``small``, which has few rows per key, without a hot task.
 
     Rows of a hot key are dealt over parts by the hash of their ``spread``
     columns (their row id), and the matching small rows are copied to each part.
+    ``big`` is read twice, so make it durable first if it is costly.
     Keys compare null-safe. ``how`` is inner, left, left_semi or left_anti.
     """
     keys = list(keys)
     hot_big = [f"__hb_{k}" for k in keys]
     hot_small = [f"__hs_{k}" for k in keys]
     small_keys = [f"__s_{k}" for k in keys]
-    hot = hot_keys(big, keys, part_rows)
+    hot = hot_keys(big, keys, spread, part_rows, every)
     part = F.pmod(F.xxhash64(*spread), F.coalesce(F.col("__parts"), F.lit(1)))
     left = (
         big.join(
@@ -92,6 +107,7 @@ def bounded_lists(
     item: Column,
     spread: Sequence[str],
     list_rows: int = LIST_ROWS,
+    **kw,
 ) -> DataFrame:
     """One sorted list of ``item`` per key: columns keys, part, items.
 
@@ -104,7 +120,7 @@ def bounded_lists(
         .where(F.col("__n") > list_rows)
         .select(*keys, F.ceil(F.col("__n") / list_rows).cast("int").alias("__lists"))
     )
-    marked = keyed_join(df, sizes, keys, spread, "left")
+    marked = keyed_join(df, sizes, keys, spread, "left", **kw)
     part = F.pmod(F.xxhash64(F.lit("part"), *spread), F.coalesce(F.col("__lists"), F.lit(1)))
     return (
         marked.select(*keys, part.cast("int").alias("part"), item.alias("__item"))

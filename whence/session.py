@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hash, not sort, where every partition of a side is known to be this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Split a skewed join even where an aggregate on the same key follows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
@@ -38,15 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and cut its lineage.
+    """Write ``df`` once to the shared folder and go on from the written table.
 
-    Used where two branches must see the very same rows (generated ids) and
-    between the rounds of an iteration. The files survive executor loss.
+    Used where branches must see the very same rows (generated ids), between the
+    rounds of an iteration, and before a costly relation is read several times.
+    The table survives executor loss, and as columns with known sizes it still
+    prunes and picks broadcasts.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
