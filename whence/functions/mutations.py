@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from whence.functions.hashing import digest, draw
+from whence.functions.scalars import is_number
 
 # The printable ASCII characters without the comma.
 PRINTABLE = "".join(chr(c) for c in range(33, 127) if chr(c) != ",")
@@ -42,16 +43,13 @@ def is_integer(text: Column) -> Column:
     return text.rlike(r"^[+-]?\d+$")
 
 
-def is_number(text: Column) -> Column:
-    return F.coalesce(text.try_cast("double").isNotNull(), F.lit(False))
-
-
 def offset_number(text: Column, h: Column) -> Column:
     """Add a non-negative integer; text that is no number stays."""
     whole = (text.try_cast("bigint") + h).cast("string")
     exact = (text.try_cast("decimal(28,8)") + h.cast("decimal(28,8)")).cast("string")
     trimmed = F.regexp_replace(exact, r"\.?0+$", "")
-    return F.when(is_integer(text), whole).otherwise(F.coalesce(trimmed, text))
+    number = F.when(is_number(text), F.coalesce(trimmed, text)).otherwise(text)
+    return F.when(is_integer(text), whole).otherwise(number)
 
 
 def number_in_range(h: Column, low: int, high: int) -> Column:

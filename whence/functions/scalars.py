@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Mean earth radius in km and miles per km.
 EARTH_RADIUS_KM = 6373.0
 MILES_PER_KM = 0.621371
+# Decimal numbers, and the white space that separates words.
+NUMBER = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Infinity)\s*$"
+OTHER_BLANKS = "\t\x0b\f\r"
 
 
 def as_col(c: Column | str) -> Column:
@@ -59,8 +62,15 @@ def parse_currency(text: Column | str) -> Column:
     return digits.try_cast("bigint")
 
 
+def is_number(text: Column | str) -> Column:
+    """The text is a decimal number. Checked by pattern: a failing cast costs an
+    exception per row."""
+    return F.coalesce(as_col(text).rlike(NUMBER), F.lit(False))
+
+
 def to_double_or_zero(text: Column | str) -> Column:
-    return F.coalesce(as_col(text).cast("string").try_cast("double"), F.lit(0.0))
+    text = as_col(text).cast("string")
+    return F.when(is_number(text), text.try_cast("double")).otherwise(F.lit(0.0))
 
 
 def item_or(items: Column | str, index: int, default: str = "error") -> Column:
@@ -155,7 +165,7 @@ def line_words(line: Column | str) -> Column:
     Neighbouring blanks give empty words; trailing empty words are not kept and a
     line of blanks only has no words.
     """
-    line = as_col(line)
-    kept = F.regexp_replace(line, r"\s+$", "")
-    none = (kept == "") & (line != "")
-    return F.when(none, F.array().cast("array<string>")).otherwise(F.split(kept, r"\s"))
+    spaced = F.translate(as_col(line), OTHER_BLANKS, " " * len(OTHER_BLANKS))
+    kept = F.rtrim(spaced)
+    none = (kept == "") & (spaced != "")
+    return F.when(none, F.array().cast("array<string>")).otherwise(F.split(kept, " "))

@@ -267,6 +267,7 @@ def witness_rows(ids: DataFrame, source: Source) -> DataFrame:
 
 def row_map(ids: DataFrame, sources: Mapping[str, Source]) -> DataFrame:
     """(ds, rid, row): where each witness row went."""
+    ids = durable(ids)
     parts = [
         witness_rows(ids, s).select(F.lit(name).alias("ds"), "rid", "row") for name, s in sources.items()
     ]

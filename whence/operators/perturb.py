@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from whence.functions import mutations as M
 from whence.functions.hashing import coin, draw
+from whence.functions.scalars import is_number
 from whence.operators.frame import Source, pointer_text
 
 
@@ -19,7 +20,7 @@ def infer_category(df: DataFrame) -> DataFrame:
     One aggregate over all columns; columns col, category.
     """
     flags = [
-        F.when(F.coalesce(F.bool_and(F.col(c).isNull() | M.is_number(F.col(c).cast("string"))), F.lit(False)), "numerical")
+        F.when(F.coalesce(F.bool_and(F.col(c).isNull() | is_number(F.col(c).cast("string"))), F.lit(False)), "numerical")
         .otherwise("other")
         .alias(c)
         for c in df.columns

@@ -12,6 +12,7 @@ from whence.operators import perturb as P
 from whence.operators.frame import Source
 from whence.plans.codependence import order_keys
 from whence.plans.registry import query
+from whence.session import durable
 from whence.sources.tables import ROW_KEYS, Tables
 
 PRINTABLE_SQL = M.PRINTABLE.replace("'", "''")
@@ -178,7 +179,7 @@ GROUP_SQL = "'custkey:' || {0}"
     (SELECT count(*) FROM c WHERE k::varchar <> k2) + (SELECT count(*) FROM o WHERE k::varchar <> k2) AS changed""")
 def perturb_codependent(t: Tables) -> DataFrame:
     """Change customer keys in both tables; the join must keep its size."""
-    relation = order_keys(t, None)
+    relation = durable(order_keys(t, None))
     c = P.perturb_consistently(source(t, "customer"), relation, "c_custkey")
     o = P.perturb_consistently(source(t, "orders"), relation, "o_custkey")
 
@@ -216,7 +217,7 @@ ORDERS_SQL = _copied_sql("orders", "o_orderkey", f"o_orderkey IN (SELECT o_order
 @query(f"""SELECT 'customer' AS ds, rid, copy_no FROM {CUSTOMERS_SQL}
   UNION ALL SELECT 'orders', rid, copy_no FROM {ORDERS_SQL}""")
 def duplicate_codependent(t: Tables) -> DataFrame:
-    group = C.pick_group(order_keys(t, None))
+    group = C.pick_group(durable(order_keys(t, None)))
     parts = [
         P.duplicate_group(source(t, name), group, COPIES).select(F.lit(name).alias("ds"), "rid", "copy_no")
         for name in ("customer", "orders")
@@ -235,7 +236,7 @@ def _guided_sql(columns: dict[str, str], key: str, table: str, group: str, group
   UNION ALL SELECT 'orders', * FROM ({_guided_sql({'o_orderpriority': 'o_orderpriority', 'o_orderstatus': 'o_orderstatus'},
     'o_custkey', ORDERS_SQL, GROUP_SQL.format('o_custkey'), 'true')})""")
 def perturb_combined(t: Tables) -> DataFrame:
-    relation = order_keys(t, None)
+    relation = durable(order_keys(t, None))
     group = C.pick_group(relation)
     sources = {
         "customer": (source(t, "customer"), "c_custkey", ["c_name", "c_acctbal"]),
