@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("apps", "decision", "lineage", "codependence", "perturbation", "comparison", "generation")
+MODULES = ("apps", "decision", "lineage", "codependence", "perturbation", "comparison", "generation", "tracked", "scalar_queries")
 
 
 def load() -> None:

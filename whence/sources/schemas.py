@@ -42,7 +42,7 @@ def schema(dataset: str) -> T.StructType:
         meta = {"category": _CATEGORIES[category]}
         if limits:
             meta |= {"min": int(limits[0]), "max": int(limits[1])}
-        out.add(name, kind, True, meta)
+        out.add(name, T.DataType.fromDDL(kind), True, meta)
     return out
 
 
