@@ -222,7 +222,7 @@ _WEB_ROWS_SQL = f"""SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey WH
 @query(traced_sql(
     f"""SELECT * FROM ({_WEB_ROWS_SQL}) WHERE p_brand IN (SELECT p_brand FROM (SELECT p_brand,
         sum(l_extendedprice) * 100 / sum(sum(l_extendedprice)) OVER (PARTITION BY p_brand) AS share
-        FROM ({_WEB_ROWS_SQL}) GROUP BY p_brand, p_partkey) WHERE share > 20)""",
+        FROM ({_WEB_ROWS_SQL}) GROUP BY p_brand, p_partkey) WHERE share > 1)""",
     lineitem=LI_RID, part="p_partkey::varchar"))
 def traced_share(t: Tables) -> DataFrame:
     """A share of a total rests on every row of its class: a join of two aggregates."""
@@ -237,7 +237,7 @@ def traced_share(t: Tables) -> DataFrame:
     shared = revenue.join(classes, [("p_brand", "brand")]).derive(
         "share", F.col("total") * 100 / F.col("of_class"), ["total", "of_class"]
     )
-    return rids(shared, F.col("share") > 20)
+    return rids(shared, F.col("share") > 1)
 
 
 _RETURNS_SQL = f"""SELECT o_custkey, l_suppkey, sum({NET_SQL}) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey
