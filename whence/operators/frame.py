@@ -212,13 +212,17 @@ class LineageFrame:
         self,
         keys: Sequence[str],
         influence: Influence | None = None,
+        count_as: str | None = None,
         **outputs: tuple[Column, Sequence[str]],
     ) -> "LineageFrame":
         """Group and aggregate: ``name=(expr, inputs)``.
 
         The result is an ordinary partial/final aggregate. Lineage is the lazy
         edge relation; ``influence`` decides which contributors it keeps.
+        ``count_as`` adds the number of rows below each group to the same pass.
         """
+        if count_as:
+            outputs = {**outputs, count_as: (F.count(F.lit(1)), ())}
         name = f"g{next(_group_numbers)}"
         hidden = tuple(f"__{name}__{k}" for k in keys) or (f"__{name}__all",)
         kept = influence.keep(self.df, keys, self.pointers) if influence else self.df

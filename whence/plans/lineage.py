@@ -157,15 +157,14 @@ def agg_lineage_edges(t: Tables) -> DataFrame:
 
 @query("""SELECT l_returnflag, sum(l_quantity)::bigint AS total, count(*) AS n_rows FROM lineitem GROUP BY l_returnflag""")
 def reduce_by_key_lineage(t: Tables) -> DataFrame:
-    f = items(t).agg(["l_returnflag"], total=(F.sum("l_quantity").cast("bigint"), ["l_quantity"]))
-    return f.plain.join(f.edge_counts(), "l_returnflag")
+    total = F.sum("l_quantity").cast("bigint")
+    return items(t).agg(["l_returnflag"], count_as="n_rows", total=(total, ["l_quantity"])).plain
 
 
 @query("""SELECT l_linestatus, round(avg(l_quantity), 8) AS mean, count(*) AS n_rows FROM lineitem GROUP BY l_linestatus""")
 def aggregate_by_key_lineage(t: Tables) -> DataFrame:
     mean = F.round(F.sum("l_quantity") / F.count("l_quantity"), 8)
-    f = items(t).agg(["l_linestatus"], mean=(mean, ["l_quantity"]))
-    return f.plain.join(f.edge_counts(), "l_linestatus")
+    return items(t).agg(["l_linestatus"], count_as="n_rows", mean=(mean, ["l_quantity"])).plain
 
 
 @query("""SELECT o_custkey, 0 AS part, string_agg(o_orderkey::varchar, ',' ORDER BY o_orderkey::varchar) AS rids
