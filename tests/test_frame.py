@@ -107,6 +107,18 @@ def test_sample_share_is_clipped(sales):
     assert sales.sample(5.0, 1).df.count() == 6
 
 
+def test_actions(sales):
+    f = sales.sort(F.asc("id")).select("price")
+    assert f.count() == 6 and f.limit(2).count() == 2
+    assert [tuple(r) for r in f.take(2)] == [(10.0,), (20.0,)]
+    assert [tuple(r) for r in f.take(1, lineage=True)] == [(10.0, "1")]
+
+
+def test_count_as_is_part_of_the_aggregate(sales):
+    f = sales.agg(["shop"], count_as="n", total=(F.sum("price"), ["price"]))
+    assert as_set(f.plain.select("shop", "n")) == as_set(f.edge_counts())
+
+
 def test_retag_starts_afresh(sales):
     f = sales.agg(["shop"], total=(F.sum("price"), ["price"])).retag("totals", ["shop"])
     assert list(f.sources) == ["totals"]

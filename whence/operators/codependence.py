@@ -30,26 +30,19 @@ SAMPLE_SHARE = 0.1
 # -- monitors ---------------------------------------------------------------------
 
 
-def _cells(frame: LineageFrame, columns: Sequence[str]) -> Column:
-    """Array of the source cells that ``columns`` read in a row."""
+def _emit(frame: LineageFrame, columns: Sequence[str], group: Column, op: str) -> DataFrame:
+    """The source cells that ``columns`` read in each row, in the row's group."""
     legs = {leg.name: leg for leg in frame.legs}
     found = sorted(frame.reads(*columns))
     if any(name not in legs or legs[name].source is None for name, _ in found):
         raise ValueError("monitored columns must come from tracked sources")
-    return F.array(
-        *[
-            F.struct(
-                F.lit(legs[name].source.name).alias("ds"),
-                F.lit(col).alias("col"),
-                frame.rid(name).alias("rid"),
-            )
-            for name, col in found
-        ]
-    )
-
-
-def _emit(frame: LineageFrame, columns: Sequence[str], group: Column, op: str) -> DataFrame:
-    rows = frame.df.select(group.alias("group_id"), F.explode(_cells(frame, columns)).alias("c"))
+    cells = [
+        F.struct(F.lit(legs[name].source.name).alias("ds"), F.lit(col).alias("col"), frame.rid(name).alias("rid"))
+        for name, col in found
+    ]
+    # One cell per row needs no generator, so the projection stays in codegen.
+    cell = cells[0] if len(cells) == 1 else F.explode(F.array(*cells))
+    rows = frame.df.select(group.alias("group_id"), cell.alias("c"))
     return rows.select("group_id", F.lit(op).alias("op"), "c.*")
 
 

@@ -186,9 +186,23 @@ class LineageFrame:
         rid = pointer_text(self.df, self.pointers)
         return self.filter(coin(rid, tag, share, seed))
 
+    def limit(self, n: int) -> "LineageFrame":
+        """Any ``n`` rows; use ``top`` for repeatable ones."""
+        return replace(self, df=self.df.limit(n))
+
     def persist(self) -> "LineageFrame":
         return replace(self, df=self.df.persist())
 
+    def unpersist(self) -> "LineageFrame":
+        return replace(self, df=self.df.unpersist())
+
+    def count(self) -> int:
+        return self.df.count()
+
+    def take(self, n: int, lineage: bool = False) -> list:
+        """The first ``n`` rows on the driver, on request with their row ids."""
+        return (self.with_lineage() if lineage else self.plain).take(n)
+
     # -- joins ---------------------------------------------------------------
     def join(self, other: "LineageFrame", on: Sequence[str | tuple[str, str]], how: str = "inner") -> "LineageFrame":
         """Equi-join; a result row carries the pointers of both sides."""
