@@ -129,13 +129,25 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
-    """True at each of ``size`` elements that a stretch from one of ``starts`` covers."""
+    """True at each of ``size`` elements that a stretch from one of the distinct ``starts`` covers."""
     change = np.zeros(size + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + length, size), -1)
+    change[starts] += 1
+    change[starts + length] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
+def sliding_minimum(values: np.ndarray, length: int) -> np.ndarray:
+    """The least of each ``length`` neighbours, by doubling."""
+    reach = 1
+    while 2 * reach <= length:
+        values = np.minimum(values[:-reach], values[reach:]) if len(values) > reach else values[:0]
+        reach *= 2
+    step = length - reach
+    if step:
+        values = np.minimum(values[:-step], values[step:]) if len(values) > step else values[:0]
+    return values
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """The distinct values, ascending (sorts; faster here than hashing them)."""
     values = np.sort(values)

@@ -68,3 +68,11 @@ def op8_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.windows import kept_words
 
     return kept_words(documents(spark, path)).drop("kept")
+
+
+@query()
+def op2_suffix_array_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes left of every document once 100-byte strings that start earlier are removed."""
+    from whence.llm.suffixes import kept_bytes
+
+    return kept_bytes(documents(spark, path)).drop("spans", "kept")
