@@ -76,3 +76,39 @@ def op2_suffix_array_dedup(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.suffixes import kept_bytes
 
     return kept_bytes(documents(spark, path)).drop("spans", "kept")
+
+
+@query(
+    f"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ),
+    s AS (
+      SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+        ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS k
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+      FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+    ),
+    link AS (
+      SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * o >= 75 * (x.n + y.n - o)
+    ),
+    reach(doc_id, r) AS (
+      SELECT doc_id, doc_id FROM documents
+      UNION
+      SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r
+    )
+    SELECT reach.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+    FROM reach LEFT JOIN n USING (doc_id) GROUP BY reach.doc_id
+    """
+)
+def op6_ngram_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
+    """Shingles and component of every document; links at a similarity of 0.75."""
+    from whence.llm.jaccard import components
+
+    return components(documents(spark, path))
