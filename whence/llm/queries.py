@@ -112,3 +112,47 @@ def op6_ngram_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.jaccard import components
 
     return components(documents(spark, path))
+
+
+@query(
+    """
+    WITH v AS (
+      SELECT vec_id, max(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS w
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      GROUP BY vec_id
+    ),
+    s AS (
+      SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.w, v.w)::BIGINT AS score
+      FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+    )
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    WHERE rank <= 5
+    """
+)
+def op9_exact_top_k_search(spark: SparkSession, path: str) -> DataFrame:
+    """The 5 nearest other vectors of every 50th vector."""
+    from pyspark.sql import functions as F
+
+    from whence.llm.topk import top_k
+
+    return top_k(spark.read.parquet(f"{path}/embeddings.parquet"), F.col("id") % 50 == 0, 5)
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op10_token_id_output(spark: SparkSession, path: str) -> DataFrame:
+    """Position, number and checksum of the token ids of every document, from the files."""
+    from whence.llm.token_files import checksums, read_tokens, write_tokens
+    from whence.session import scratch_dir
+
+    out = scratch_dir(spark, "tokens")
+    write_tokens(documents(spark, path), out, vocabulary("byte_bpe_50k.json"))
+    return checksums(read_tokens(spark, out))
