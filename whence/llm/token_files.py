@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ WRITER = {
     "parquet.enable.dictionary": "false",
     "parquet.enable.dictionary#ids.list.element": "true",
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
 }
 #: Bytes of text that are tokenized together.
 BATCH_BYTES = 8 << 20
@@ -45,16 +47,66 @@ BATCH_BYTES = 8 << 20
 PARTITION_BYTES = 12 << 20
 END_ID = 0
 
-_TOKENIZERS: dict = {}
+#: Chunks whose ids a worker keeps; beyond that it starts anew. Only speed depends on it.
+CACHE_CHUNKS = 1_000_000
 
+_CACHES: dict = {}
 
-def tokenizer_at(path: str):
-    if path not in _TOKENIZERS:
+
+class Chunks:
+    """A tokenizer and the ids of the chunks it has met."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        #: A token of a byte-level vocabulary is spelt with one character per byte.
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
+        self.codes: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct chunks: all known ids, and where each chunk's start and how many they are."""
+        if len(self.codes) + len(chunks) > CACHE_CHUNKS:
+            self.codes, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        new = [c for c in chunks if c not in self.codes]
+        if new:
+            # Those that start with a space and end with a visible ASCII character can stand in a row.
+            rows = [c for c in new if c[0] == " " and "!" <= c[-1] <= "~"]
+            for some, found in (self.in_rows(rows), self.alone([c for c in new if not (c[0] == " " and "!" <= c[-1] <= "~")])):
+                self.codes.update(zip(some, range(len(self.codes), len(self.codes) + len(some))))
+                self.flat = np.r_[self.flat, found[0]]
+                self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(found[1])]
+        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        return self.flat, self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def alone(self, chunks: list[str]):
+        return chunks, self.encoded(chunks)
+
+    def in_rows(self, chunks: list[str]):
+        """As ``alone``, with many chunks to a text; tokens are told apart by their bytes."""
+        ids, _ = self.encoded(["".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)])
+        ends = np.cumsum([len(c.encode()) for c in chunks], dtype=np.int64)
+        token_ends = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(token_ends, ends)
+        if len(chunks) and (last[-1] >= len(ids) or not np.array_equal(token_ends[last], ends)):
+            return self.alone(chunks)
+        return chunks, (ids, np.diff(last, prepend=-1))
+
+
+def chunks_at(path: str) -> Chunks:
+    if path not in _CACHES:
+        _CACHES[path] = Chunks(path)
+    return _CACHES[path]
 
 
 def chunk_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -82,11 +134,8 @@ def encode(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray
     chunks = pa.Array.from_buffers(
         pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
-    known = [e.ids for e in tokenizer_at(path).encode_batch_fast(chunks.dictionary.to_pylist(), add_special_tokens=False)]
-    lengths = np.array([len(x) for x in known], np.int64)
-    flat = np.concatenate([np.array(x, np.uint32) for x in known]) if known else np.zeros(0, np.uint32)
+    flat, at, lengths = chunks_at(path).of(chunks.dictionary.to_pylist())
     code = chunks.indices.to_numpy()
-    at = np.cumsum(lengths) - lengths
     ids = flat[ranges(at[code], lengths[code])]
     before = np.r_[0, np.cumsum(lengths[code])][np.searchsorted(cuts, offsets)]
     sizes = np.diff(before) + 1
