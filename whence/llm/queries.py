@@ -156,3 +156,63 @@ def op10_token_id_output(spark: SparkSession, path: str) -> DataFrame:
     out = scratch_dir(spark, "tokens")
     write_tokens(documents(spark, path), out, vocabulary("byte_bpe_50k.json"))
     return checksums(read_tokens(spark, out))
+
+
+def mix_sql(docs: str = "documents") -> str:
+    """DuckDB SQL of the production mix: the columns of ``docs``, mix_domain, n_tokens and epoch."""
+    words = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+    def level(name: str, keys: list[str], above: str, before: str, weight: str) -> str:
+        key, by = ", ".join(keys), ", ".join(keys[:-1]) or "1"
+        join = f"USING ({', '.join(keys[:-1])})" if keys[:-1] else "ON true"
+        return f"""
+    {name}_n AS (
+      SELECT n.*, {before} AS budget FROM (
+        SELECT {key}, sum(tokens * 2)::BIGINT AS cap, {weight} AS weight FROM leaf WHERE tokens > 0 GROUP BY {key}
+      ) n JOIN {above} a {join}
+    ),
+    {name}_f AS (
+      SELECT *, sum(cap) OVER o * weight + cap * coalesce(sum(weight) OVER r, 0) <= budget * weight AS is_full FROM {name}_n
+      WINDOW o AS (PARTITION BY {by} ORDER BY cap / weight, {key} ROWS UNBOUNDED PRECEDING),
+        r AS (PARTITION BY {by} ORDER BY cap / weight, {key} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+    ),
+    {name} AS (
+      SELECT {key}, CASE WHEN is_full THEN cap ELSE weight * (budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER w, 0))
+        // sum(CASE WHEN NOT is_full THEN weight END) OVER w END AS share
+      FROM {name}_f WINDOW w AS (PARTITION BY {by})
+    )"""
+
+    return f"""
+    WITH d AS (
+      SELECT *, CASE WHEN regexp_matches(source, '[02468]$') THEN 'even' ELSE 'odd' END AS mix_domain,
+        coalesce(lang, '') AS mix_lang, coalesce(source, '') AS mix_source, {words}::BIGINT AS n_tokens FROM {docs}
+    ),
+    leaf AS (SELECT mix_domain, mix_lang, mix_source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+    top AS (SELECT sum(tokens)::BIGINT AS share FROM leaf),
+    {level("lv1", ["mix_domain"], "top", "least(a.share, sum(cap) OVER ())", "CASE mix_domain WHEN 'even' THEN 3 ELSE 2 END")},
+    {level("lv2", ["mix_domain", "mix_lang"], "lv1", "a.share",
+           "CASE mix_lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END")},
+    {level("lv3", ["mix_domain", "mix_lang", "mix_source"], "lv2", "a.share", "1")},
+    k AS (
+      SELECT d.*, (share // tokens)::BIGINT AS whole, (share % tokens)::BIGINT AS rest,
+        md5('7|' || (share // tokens)::BIGINT || '|' || coalesce(doc_id::VARCHAR, '')) AS k
+      FROM d JOIN leaf USING (mix_domain, mix_lang, mix_source) JOIN lv3 USING (mix_domain, mix_lang, mix_source)
+      WHERE tokens > 0
+    ),
+    c AS (
+      SELECT *, whole + CASE WHEN coalesce(sum(n_tokens) OVER (PARTITION BY mix_domain, mix_lang, mix_source ORDER BY k
+        RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) < rest THEN 1 ELSE 0 END AS copies FROM k
+    )
+    SELECT doc_id, text, lang, source, n_chars, mix_domain, n_tokens, unnest(range(copies)) AS epoch FROM c
+    """
+
+
+@query(f"SELECT doc_id, mix_domain, lang, source, n_tokens, epoch FROM ({mix_sql()})")
+def op7_mixing_to_weights(spark: SparkSession, path: str) -> DataFrame:
+    """The epochs in which each document is taken, by weights of domains and languages."""
+    from pyspark.sql import functions as F
+
+    from whence.llm.mixing import production, token_count
+
+    found = production(documents(spark, path))
+    return found.select("doc_id", "mix_domain", "lang", "source", token_count(F.col("text")).alias("n_tokens"), "epoch")
