@@ -216,3 +216,11 @@ def op7_mixing_to_weights(spark: SparkSession, path: str) -> DataFrame:
 
     found = production(documents(spark, path))
     return found.select("doc_id", "mix_domain", "lang", "source", token_count(F.col("text")).alias("n_tokens"), "epoch")
+
+
+@query()
+def op1_document_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    from whence.llm.edit_walk import document_fingerprints
+
+    return document_fingerprints(documents(spark, path))
