@@ -224,3 +224,16 @@ def op1_document_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.edit_walk import document_fingerprints
 
     return document_fingerprints(documents(spark, path))
+
+
+def labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/labels.parquet")
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
+    """Score and prediction of the quality of every document."""
+    from whence.llm.quality import fit, scored
+
+    docs = documents(spark, path)
+    return scored(docs, fit(docs, labels(spark, path))).select("doc_id", "held_out", "score", "predicted")
