@@ -237,3 +237,11 @@ def op3_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
 
     docs = documents(spark, path)
     return scored(docs, fit(docs, labels(spark, path))).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op4_sentencepiece_sampling(spark: SparkSession, path: str) -> DataFrame:
+    """Number and checksum of the sampled pieces of every document, and the round trip."""
+    from whence.llm.pieces import round_trips
+
+    return round_trips(documents(spark, path), vocabulary("piece_bpe_32k.model"))
