@@ -67,7 +67,7 @@ def op8_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Words left of every document once 13-word windows of smaller ids are removed."""
     from whence.llm.windows import kept_words
 
-    return kept_words(documents(spark, path)).drop("kept")
+    return kept_words(documents(spark, path), texts=False)
 
 
 @query()
@@ -75,7 +75,7 @@ def op2_suffix_array_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Bytes left of every document once 100-byte strings that start earlier are removed."""
     from whence.llm.suffixes import kept_bytes
 
-    return kept_bytes(documents(spark, path)).drop("spans", "kept")
+    return kept_bytes(documents(spark, path), texts=False)
 
 
 @query(
@@ -245,3 +245,11 @@ def op4_sentencepiece_sampling(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.pieces import round_trips
 
     return round_trips(documents(spark, path), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op5_html_extraction(spark: SparkSession, path: str) -> DataFrame:
+    """Main text of every page."""
+    from whence.llm.page_text import main_text
+
+    return main_text(spark.read.parquet(f"{path}/pages.parquet"))

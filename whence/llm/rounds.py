@@ -61,6 +61,7 @@ class Group:
     ids: np.ndarray
     texts: pa.Array
     copy: np.ndarray
+    carried: dict[str, pa.ChunkedArray]
     answers: dict[int, list[bytes]] = field(default_factory=dict)
 
     def own(self) -> pa.Array:
@@ -76,14 +77,18 @@ class Group:
 
 
 class Rounds:
-    """Texts dealt over groups. ``docs`` has ``doc_id`` and ``text``; no more is read.
+    """Texts dealt over groups. ``docs`` has ``doc_id`` and ``text``; beside these, only the
+    columns ``carry`` are read, which go with the texts.
 
     A NULL text counts as empty and a NULL id as the smallest. Where rows share a text,
     those with the smallest id take part and the others are marked as copies.
     """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, carry: tuple[str, ...] = ()):
+        self.carry = {c: docs.schema[c].dataType.simpleString() for c in carry}
+        carried = {c: f"carried_{i}" for i, c in enumerate(carry)}
         docs = docs.select(
+            *[F.col(c).alias(a) for c, a in carried.items()],
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("id"),
             F.coalesce("text", F.lit("")).alias("text"),
@@ -96,7 +101,7 @@ class Rounds:
         self.parts = max(1, -(-self.bytes // PART_BYTES))
         group = F.pmod(F.xxhash64("id"), F.lit(self.groups)).alias("g")
         self.width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.docs = docs.select(group, "doc_id", "id", "text").repartition(self.width, "g")
+        self.docs = docs.select(group, "doc_id", "id", "text", *carried.values()).repartition(self.width, "g")
         self.number = 0
         self.notes = _copies(docs).select(
             group, F.lit(0).alias("round"), F.lit(0).cast("bigint").alias("part"), F.col("id").alias("id"),
@@ -105,6 +110,7 @@ class Rounds:
 
     def each(self, work: Callable[[Group], dict], schema: str) -> DataFrame:
         """The rows of ``work`` (columns by name) for every group with the answers so far."""
+        names = {c: f"carried_{i}" for i, c in enumerate(self.carry)}
         base, arrow = np.uint64(self.base % 2**64), to_arrow_schema(StructType.fromDDL(schema))
 
         def run(key, texts, notes):
@@ -114,7 +120,7 @@ class Rounds:
             copies = notes.column("id").filter(pa.array(rounds == 0)).to_numpy()
             group = Group(
                 int(key[0].as_py()), texts.column("doc_id"), ids.astype(np.int64).view(np.uint64) - base,
-                texts.column("text").combine_chunks(), np.isin(ids, copies),
+                texts.column("text").combine_chunks(), np.isin(ids, copies), {c: texts.column(a) for c, a in names.items()},
             )
             later = notes.filter(pa.array(rounds > 0)).sort_by([("round", "ascending"), ("part", "ascending")])
             for number, data in zip(later.column("round").to_pylist(), later.column("data").to_pylist()):

@@ -191,15 +191,18 @@ def answer_windows(sent: list[bytes], id_type: str, window: int) -> list[bytes]:
     return packed(bits, sizes)
 
 
-def kept_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of what goes), kept.
-
-    ``kept`` is binary: a span may end inside a character. Rows with the same id and text
-    have the same result.
+def kept_bytes(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also spans and kept.
+
+    ``spans`` holds the start and end of what goes, in bytes; ``kept`` is the text left,
+    without the halves of characters that a span cuts. ``carry`` names further columns of
+    ``docs`` to keep. Rows with the same id and text have the same result.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and the window")
-    rounds = Rounds(docs)
+    rounds = Rounds(docs, carry)
     parts, id_type = rounds.parts, rounds.id_type
 
     def suffixes(group: Group) -> Suffixes:
@@ -224,18 +227,17 @@ def kept_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
             edges = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8))).reshape(-1, 2)
             spans.append([{"start": a, "end": b} for a, b in edges.tolist()])
             kept.append(text[~mask].tobytes())
-        return {
+        found = {
             "doc_id": group.doc_ids,
             "n_bytes": sizes,
             "n_removed": [n - len(k) for n, k in zip(sizes.tolist(), kept)],
             "n_spans": [len(s) for s in spans],
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
-            "spans": spans,
-            "kept": kept,
         }
+        if texts:
+            found |= {"spans": spans, "kept": [k.decode("utf-8", "ignore") for k in kept]}
+        return found | group.carried
 
-    schema = (
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-        "spans array<struct<start: bigint, end: bigint>>, kept binary"
-    )
-    return rounds.each(work, schema)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema += ", spans array<struct<start: bigint, end: bigint>>, kept string" if texts else ""
+    return rounds.each(work, schema + "".join(f", `{c}` {kind}" for c, kind in rounds.carry.items()))

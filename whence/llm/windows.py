@@ -122,8 +122,8 @@ class Doubling:
         return covered(gone, self.lengths[last], len(self.words.starts))
 
 
-def kept_words(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the words kept, joined by spaces).
+def kept_words(docs: DataFrame, window: int = WINDOW, first: int = FIRST, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256; with ``texts`` also kept, the words left joined by spaces.
 
     Rows with the same id and text have the same result. The order of rows is free.
     """
@@ -147,18 +147,18 @@ def kept_words(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> Dat
         own[copies] = np.repeat(words.counts[group.copy] >= window, words.counts[group.copy])
         raw, kept = data.tobytes(), []
         starts, ends = words.starts.tolist(), words.ends.tolist()
-        removed = np.add.reduceat(np.r_[own, False].astype(np.int64), words.firsts[:-1]) if len(words.counts) else np.zeros(0, np.int64)
-        removed[words.counts == 0] = 0
+        removed = np.diff(np.r_[0, np.cumsum(own)][words.firsts])
         keep = ~own
         for i in range(len(words.counts)):
             a, b = words.firsts[i], words.firsts[i + 1]
             kept.append(b" ".join([raw[starts[j] : ends[j]] for j in (a + np.flatnonzero(keep[a:b])).tolist()]))
-        return {
+        found = {
             "doc_id": group.doc_ids,
             "n_words": words.counts,
             "n_removed": removed,
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
-            "kept": [k.decode() for k in kept],
         }
+        return found | ({"kept": [k.decode() for k in kept]} if texts else {})
 
-    return rounds.each(work, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    return rounds.each(work, schema + (", kept string" if texts else ""))
