@@ -60,21 +60,24 @@ def filled(children: DataFrame, parent: list[str]) -> DataFrame:
 
 def budgets(leaves: DataFrame, budget: Column, weights: dict[str, Column], epochs: int) -> DataFrame:
     """Share of each leaf (domain, lang_, source_, tokens); ``budget`` is an expression on ``total``."""
-    tree = leaves.withColumns({f"w_{c}": w.cast("bigint") for c, w in zip(LEAF, (weights[c] for c in LEAF))})
-    tree = tree.filter("tokens > 0 and w_domain > 0 and w_lang_ > 0 and w_source_ > 0")
-    tree = tree.withColumn("cap", F.col("tokens") * F.lit(epochs).cast("bigint"))
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    root = total.select(budget.cast("bigint").alias("budget"), F.lit(1).alias("root"))
+    weight = [weights[c].cast("bigint") for c in LEAF]
+    open_ = (F.col("tokens") > 0) & (weight[0] > 0) & (weight[1] > 0) & (weight[2] > 0)
+    tree = leaves.withColumns({f"w_{c}": F.greatest(w, F.lit(1)) for c, w in zip(LEAF, weight)})
+    tree = tree.withColumn("cap", F.when(open_, F.col("tokens") * F.lit(epochs).cast("bigint")).otherwise(F.lit(0)))
     # Nodes of the upper levels: few rows, whatever the number of documents.
-    got = root
+    got = None
     for depth, level in enumerate(LEAF):
-        above = LEAF[:depth] or ["root"]
-        nodes = tree.groupBy(*LEAF[: depth + 1]).agg(F.sum("cap").alias("cap"), F.max(f"w_{level}").alias("weight"))
-        nodes = nodes.withColumn("root", F.lit(1)).join(got, above)
-        if not depth:
-            nodes = nodes.withColumn("budget", F.least("budget", F.sum("cap").over(Window.partitionBy("root"))))
-        got = filled(nodes, above).select(*LEAF[: depth + 1], F.col("share").alias("budget"))
-    return tree.select(*LEAF, "tokens").join(got.withColumnRenamed("budget", "share"), LEAF)
+        sums = [F.sum("cap").alias("cap"), F.max(f"w_{level}").alias("weight"), F.sum("tokens").alias("own")]
+        nodes = tree.groupBy(*LEAF[: depth + 1]).agg(*sums)
+        if got is None:
+            every = Window.partitionBy("root")
+            nodes = nodes.withColumn("root", F.lit(1)).withColumn("total", F.sum("own").over(every))
+            nodes = nodes.withColumn("budget", F.least(budget.cast("bigint"), F.sum("cap").over(every)))
+        else:
+            nodes = nodes.join(got, LEAF[:depth])
+        shares = filled(nodes, LEAF[:depth] or ["root"])
+        got = shares.select(*LEAF[: depth + 1], F.col("share").alias("budget"))
+    return tree.filter("tokens > 0").select(*LEAF, "tokens").join(got.withColumnRenamed("budget", "share"), LEAF)
 
 
 def mixed(

@@ -48,7 +48,7 @@ PARTITION_BYTES = 12 << 20
 END_ID = 0
 
 #: Chunks whose ids a worker keeps; beyond that it starts anew. Only speed depends on it.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 
 _CACHES: dict = {}
 
