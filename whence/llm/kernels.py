@@ -25,7 +25,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the life of the worker."""
+    """base**0 .. base**(n-1) modulo 2**64; as many as 2**22 are kept for the life of the worker."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
         size = max(1 << 16, 1 << int(n - 1).bit_length())
@@ -33,7 +33,8 @@ def powers(base: int, n: int) -> np.ndarray:
         known[0] = 1
         known[1:] = base
         np.cumprod(known, out=known)
-        _POWERS[base] = known
+        if size <= 1 << 22:
+            _POWERS[base] = known
     return known[:n]
 
 

@@ -31,7 +31,7 @@ from whence.llm.kernels import BYTE_VALUES, Prefix, buffers, mix, ranges
 from whence.llm.token_files import slices
 
 MARK = "▁"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 18
 #: Log weight of a byte piece; below any way through whole pieces of a few bytes.
 BYTE_WEIGHT = -30.0
 SHARPNESS = 1.5

@@ -40,7 +40,7 @@ REACH = 2
 HIDDEN = 24
 #: Numbers of a document beside its two mean vectors.
 POOLED = 5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 THRESHOLD = 0.7
 
 #: Kinds of bytes in a shape: 1 lower case, 2 upper case, 3 digit, 4 beyond ASCII, signs as themselves.
@@ -93,17 +93,23 @@ def features(texts: pa.Array, words: np.ndarray, shapes: np.ndarray) -> np.ndarr
     return np.concatenate([*pooled, np.stack(sums, axis=1).astype(np.float32)], axis=1)
 
 
+def stretches(texts: pa.Array) -> list[pa.Array]:
+    """The texts in stretches of bounded bytes."""
+    return [b.column(0) for b in slices(pa.RecordBatch.from_arrays([texts], ["text"]), SLICE_BYTES)]
+
+
 def word_vectors(texts: pa.Array, index: np.ndarray) -> np.ndarray:
     """Index vectors plus the directions of the context vectors, scaled to length one."""
-    row, _, firsts = rows_of(texts)
-    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     context = np.zeros(index.shape, np.float64)
-    for step in range(1, REACH + 1):
-        near = text[step:] == text[:-step]
-        left, right = row[:-step][near], row[step:][near]
-        for dim in range(SIZE):
-            for own, other in ((left, right), (right, left)):
-                context[:, dim] += np.bincount(own, index[other, dim], len(index))
+    for some in stretches(texts):
+        row, _, firsts = rows_of(some)
+        text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        for step in range(1, REACH + 1):
+            near = text[step:] == text[:-step]
+            left, right = row[:-step][near], row[step:][near]
+            for dim in range(SIZE):
+                for own, other in ((left, right), (right, left)):
+                    context[:, dim] += np.bincount(own, index[other, dim], len(index))
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     return index + (context / np.where(norm == 0, 1, norm)).astype(np.float32)
 
@@ -113,7 +119,8 @@ def fitted(texts: pa.Array, labels: np.ndarray, order: np.ndarray) -> dict:
     index, shapes = index_vectors(WORD_ROWS, 1), index_vectors(SHAPE_ROWS, 2)
     held = order % 5 == 0 if len(order) >= 50 else np.zeros(len(order), bool)
     words = word_vectors(texts, index)
-    x = features(texts, words, shapes)
+    parts = [features(some, words, shapes) for some in stretches(texts)]
+    x = np.concatenate(parts) if parts else np.zeros((0, 2 * SIZE + POOLED), np.float32)
     y = labels.astype(np.float64)
     mean, scale = x[~held].mean(axis=0) if len(x) else 0.0, x[~held].std(axis=0) + 1e-3 if len(x) else 1.0
     x = (x - mean) / scale
