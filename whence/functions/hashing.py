@@ -26,8 +26,8 @@ def draw(rid: Column | str, tag: str, seed: int = 0) -> Column:
 
 
 def coin(rid: Column | str, tag: str, share: float, seed: int = 0) -> Column:
-    """True for about ``share`` of the ids, in steps of 1/1000."""
-    return draw(rid, tag, seed) % 1000 < round(min(share, 1.0) * 1000)
+    """True for about ``share`` of the ids, in steps of 2^-28."""
+    return draw(rid, tag, seed) < round(min(share, 1.0) * DRAW_RANGE)
 
 
 def between(rid: Column | str, tag: str, low: int, high: int, seed: int = 0) -> Column:
@@ -41,6 +41,11 @@ def pick(rid: Column | str, tag: str, values: Iterable[str], seed: int = 0) -> C
     return F.element_at(choices, (draw(rid, tag, seed) % len(values) + 1).cast("int"))
 
 
+def coin_sql(rid: str, tag: str, share: float, seed: int = 0) -> str:
+    """The same coin as DuckDB SQL text."""
+    return f"({draw_sql(rid, tag, seed)} < {round(min(share, 1.0) * DRAW_RANGE)})"
+
+
 def draw_sql(rid: str, tag: str, seed: int = 0) -> str:
     """The same draw as DuckDB SQL text."""
     return f"('0x' || substr(md5(concat_ws(':', {rid}, '{tag}', '{seed}')), 1, 7))::bigint"

@@ -56,9 +56,9 @@ def delay_bucket(delay: Column | str, width: int = 1800) -> Column:
 
 
 def parse_currency(text: Column | str) -> Column:
-    """``$`` followed by five digits, or a plain integer; NULL if neither parses."""
+    """An integer with or without ``$`` before it; NULL if it does not parse."""
     text = as_col(text)
-    digits = F.when(text.startswith("$"), F.substring(text, 2, 5)).otherwise(text)
+    digits = F.when(text.startswith("$"), F.substr(text, F.lit(2))).otherwise(text)
     return digits.try_cast("bigint")
 
 

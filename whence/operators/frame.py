@@ -54,6 +54,8 @@ class Leg:
     columns: tuple[str, ...]
     source: Source | None = None
     step: EdgeStep | None = None
+    #: An aggregate without keys: one group holds all rows.
+    whole: bool = False
 
 
 def pointer_text(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -253,7 +255,7 @@ class LineageFrame:
         df = out.agg(*exprs) if exprs else self.df.select(*keys).distinct()
         colmap = {k: self.reads(k) for k in keys}
         colmap |= {c: self.reads(*inputs) for c, (_, inputs) in outputs.items()}
-        leg = Leg(name, hidden, step=EdgeStep(edges, self.legs))
+        leg = Leg(name, hidden, step=EdgeStep(edges, self.legs), whole=not keys)
         return LineageFrame(df.withColumns(points_to), (leg,), colmap)
 
     def distinct(self) -> "LineageFrame":
@@ -297,7 +299,7 @@ class LineageFrame:
     def edge_counts(self, name: str = "n_rows") -> DataFrame:
         """Contributing rows per group, combined map side."""
         edges = self.edges()
-        keys = [c for c in edges.columns if not c.endswith("_rid")]
+        keys = edges.columns[: len(self.legs[0].columns)]
         return edges.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
     def to_cells(self) -> DataFrame:
@@ -328,7 +330,7 @@ class LineageFrame:
                     found[name] = found[name].union(ids).distinct() if name in found else ids
                     continue
                 inner = [c for l in leg.step.legs for c in l.columns]
-                if leg.columns[0].endswith("__all"):
+                if leg.whole:
                     # One group: its pointer relation is a single row.
                     one = F.broadcast(wanted.limit(1))
                     below = leg.step.edges.join(one, list(leg.columns), "left_semi")

@@ -15,12 +15,12 @@ from whence.operators.frame import Source, pointer_text
 
 
 def infer_category(df: DataFrame) -> DataFrame:
-    """Per column: numerical if every value parses as a number, else other.
+    """Per column: numerical if every value parses as a number, else other. NULL does not parse.
 
     One aggregate over all columns; columns col, category.
     """
     flags = [
-        F.when(F.coalesce(F.bool_and(F.col(c).isNull() | is_number(F.col(c).cast("string"))), F.lit(False)), "numerical")
+        F.when(F.coalesce(F.bool_and(is_number(F.col(c).cast("string"))), F.lit(False)), "numerical")
         .otherwise("other")
         .alias(c)
         for c in df.columns
@@ -90,6 +90,8 @@ def by_schema(categories: Mapping[str, tuple[str, tuple[int, int] | None]], seed
 
 def duplicate_rows(rows: DataFrame, share: float, most: int, seed: int = 0) -> DataFrame:
     """About ``share`` of the rows get one to ``most`` - 1 copies: adds copy_no."""
+    if most < 2:
+        raise ValueError("most must be at least 2")
     copies = F.when(coin("rid", "dup", share, seed), draw("rid", "copies", seed) % (most - 1) + 1).otherwise(0)
     return rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), copies)).alias("copy_no"))
 

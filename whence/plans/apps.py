@@ -189,9 +189,8 @@ def first_line(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.split("text", "\n")[0].alias("line"))
 
 
-@query("""SELECT sum(v)::bigint AS total, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'F'
-  THEN substr(lpad(trunc(o_totalprice)::bigint::varchar, 6, '0'), 1, 5)::bigint
-  ELSE trunc(o_totalprice)::bigint END AS v FROM orders) WHERE v < 30000""")
+@query("""SELECT sum(v)::bigint AS total, count(*) AS n
+  FROM (SELECT trunc(o_totalprice)::bigint AS v FROM orders) WHERE v < 30000""")
 def currency_sum(t: Tables) -> DataFrame:
     whole = F.col("o_totalprice").cast("bigint").cast("string")
     priced = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("$"), F.lpad(whole, 6, "0"))).otherwise(whole)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whence.functions.hashing import draw_sql
+from whence.functions.hashing import coin_sql
 from whence.operators import codependence as C
 from whence.operators.compare import coverage
 from whence.plans.registry import LI_RID, query
@@ -47,7 +47,7 @@ def supplier_groups(t: Tables) -> DataFrame:
 
 
 SUPPLIER_GROUPS_SQL = f"""SELECT 'suppkey:' || l_suppkey AS group_id, '==' AS op, 'lineitem' AS ds, 'l_suppkey' AS col,
-  {LI_RID} AS rid FROM lineitem WHERE {draw_sql(LI_RID, 'group')} % 1000 < 100
+  {LI_RID} AS rid FROM lineitem WHERE {coin_sql(LI_RID, 'group', 0.1)}
   QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY {LI_ORDER}) <= 3"""
 
 
@@ -150,7 +150,7 @@ MAP_SQL = f"""(SELECT 'customer' AS ds, c_custkey::varchar AS rid, row_number()
     (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
      QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3)
   UNION ALL SELECT 'lineitem', {LI_RID}, row_number() OVER (ORDER BY {LI_ORDER}) - 1 FROM
-    (SELECT * FROM lineitem WHERE {draw_sql(LI_RID, 'group')} % 1000 < 100
+    (SELECT * FROM lineitem WHERE {coin_sql(LI_RID, 'group', 0.1)}
      QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY {LI_ORDER}) <= 3))"""
 
 
@@ -187,7 +187,7 @@ BRANCHES_SQL = """count(*) AS n_rows, bool_or(o_totalprice < 1000)::int + bool_o
 @query(f"""SELECT version, n_rows, covered, 6 AS branches FROM (SELECT 'full' AS version, {BRANCHES_SQL} FROM orders
   UNION ALL SELECT 'reduced', {BRANCHES_SQL} FROM (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3)
-  UNION ALL SELECT 'sampled', {BRANCHES_SQL} FROM orders WHERE {draw_sql('o_orderkey', 's')} % 1000 < 200)""")
+  UNION ALL SELECT 'sampled', {BRANCHES_SQL} FROM orders WHERE {coin_sql('o_orderkey', 's', 0.2)})""")
 def reduction_report(t: Tables) -> DataFrame:
     """Rows and covered branches of the whole, the reduced and a sampled table."""
     orders = t.tagged("orders")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whence.functions import scalars as S
-from whence.functions.hashing import draw_sql
+from whence.functions.hashing import coin_sql
 from whence.operators import influence as I
 from whence.operators import lineage_sets as L
 from whence.operators.frame import LineageFrame, tag
@@ -102,7 +102,7 @@ def bracket_label(t: Tables) -> DataFrame:
 def tolerant_cast(t: Tables) -> DataFrame:
     return t.documents.select(
         "doc_id",
-        S.to_double_or_zero(F.substring("source", 4, 100)).alias("v"),
+        S.to_double_or_zero(F.substr(F.col("source"), F.lit(4))).alias("v"),
         S.to_double_or_zero("lang").alias("w"),
         S.item_or(F.split("text", " "), 400).alias("e"),
     )
@@ -212,13 +212,13 @@ def topk_lineage(t: Tables) -> DataFrame:
     return top.derive("place", place).with_lineage().drop("o_orderkey")
 
 
-@query(f"SELECT {LI_RID} AS lineitem_rid FROM lineitem WHERE {draw_sql(LI_RID, 's')} % 1000 < 100")
+@query(f"SELECT {LI_RID} AS lineitem_rid FROM lineitem WHERE {coin_sql(LI_RID, 's', 0.1)}")
 def hash_sample(t: Tables) -> DataFrame:
     return items(t).select().hash_sample(0.1).with_lineage()
 
 
-@query(f"""SELECT 'lineitem' AS ds, {LI_RID} AS rid FROM lineitem WHERE {draw_sql(LI_RID, 's', 7)} % 1000 < 50
-  UNION ALL SELECT 'orders', o_orderkey::varchar FROM orders WHERE {draw_sql('o_orderkey', 's', 7)} % 1000 < 50""")
+@query(f"""SELECT 'lineitem' AS ds, {LI_RID} AS rid FROM lineitem WHERE {coin_sql(LI_RID, 's', 0.05, 7)}
+  UNION ALL SELECT 'orders', o_orderkey::varchar FROM orders WHERE {coin_sql('o_orderkey', 's', 0.05, 7)}""")
 def sample_sources(t: Tables) -> DataFrame:
     """One sample share, split evenly over the sources."""
     frames = [items(t).select(), t.tagged("orders").select()]

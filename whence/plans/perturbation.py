@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whence.functions import mutations as M
-from whence.functions.hashing import draw_sql
+from whence.functions.hashing import coin_sql, draw_sql
 from whence.operators import codependence as C
 from whence.operators import perturb as P
 from whence.operators.frame import Source
@@ -94,7 +94,7 @@ def perturb_number_format(t: Tables) -> DataFrame:
     return _customers(t, ["c_nationkey", "c_acctbal", "c_name"], P.number_formats())
 
 
-@query(cells_sql({"c_name": ("c_name", f"CASE WHEN {draw_sql(RID, 'c_name/blank')} % 1000 < 200 THEN '' ELSE c_name END")}))
+@query(cells_sql({"c_name": ("c_name", f"CASE WHEN {coin_sql(RID, 'c_name/blank', 0.2)} THEN '' ELSE c_name END")}))
 def perturb_blank(t: Tables) -> DataFrame:
     return _customers(t, ["c_name"], P.blanks(0.2))
 
@@ -121,7 +121,7 @@ CATEGORIES = {"c_acctbal": ("numerical", None), "c_nationkey": ("numerical", (0,
         "c_acctbal": (TEXTS["c_acctbal"], offset_sql(TEXTS["c_acctbal"], wide_sql("rid", "c_acctbal"))),
     },
     table=f"""(SELECT *, {RID} || CASE WHEN copy_no = 0 THEN '' ELSE '+' || copy_no END AS rid FROM
-      (SELECT *, unnest(range(0, 1 + CASE WHEN {draw_sql(RID, 'dup')} % 1000 < 500 THEN {draw_sql(RID, 'copies')} % 2 + 1
+      (SELECT *, unnest(range(0, 1 + CASE WHEN {coin_sql(RID, 'dup', 0.5)} THEN {draw_sql(RID, 'copies')} % 2 + 1
        ELSE 0 END)) AS copy_no FROM customer))""",
     rid="rid",
 ))
@@ -154,7 +154,7 @@ def perturb_drop_columns(t: Tables) -> DataFrame:
     return _lines(t, lambda line, rid: M.drop_fields(line, rid, "drop"))
 
 
-@query(f"""SELECT {RID} AS rid, unnest(range(0, 1 + CASE WHEN {draw_sql(RID, 'dup')} % 1000 < 300
+@query(f"""SELECT {RID} AS rid, unnest(range(0, 1 + CASE WHEN {coin_sql(RID, 'dup', 0.3)}
   THEN {draw_sql(RID, 'copies')} % 2 + 1 ELSE 0 END)) AS copy_no FROM customer""")
 def duplicate_rows(t: Tables) -> DataFrame:
     return P.duplicate_rows(P.with_rid(source(t, "customer")).select("rid"), 0.3, 3)
