@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from whence.llm import edit_walk, jaccard, mixing, page_text, pieces, quality, suffixes, token_files, topk, windows
+from whence.llm import edit_walk, jaccard, mixing, page_text, pieces, quality, rounds, suffixes, token_files, topk, windows
 from whence.llm.queries import prepared, vocabulary
 from whence.session import scratch_dir
 
@@ -79,7 +79,8 @@ def test_windows(docs):
     assert windows.levels(4, 13) == [4, 8, 13] and windows.levels(20, 13) == [13]
 
 
-def test_suffixes(docs):
+@pytest.mark.parametrize("hot_names, group_bytes", [(suffixes.HOT_NAMES, 2 << 20), (1, 2 << 20), (1, 2000), (2, 2000)])
+def test_suffixes(docs, monkeypatch, hot_names, group_bytes):
     least = {}
     rows = [(i, (t or "").encode()) for i, t in corpus()]
     for i, b in rows:
@@ -95,7 +96,9 @@ def test_suffixes(docs):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for j in range(len(gone)) if gone[j] and not (j and gone[j - 1]))
         want.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-    found = suffixes.kept_bytes(docs, carry=("lang",))
+    monkeypatch.setattr(rounds, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(rounds, "PART_BYTES", group_bytes)
+    found = suffixes.kept_bytes(docs, carry=("lang",), hot_names=hot_names)
     assert results(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept") == expected(want)
     assert {r.lang for r in found.collect()} == {"en"}
 

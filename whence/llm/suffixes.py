@@ -16,7 +16,9 @@ suffixes meet in the part that owns the range of their leading hash and are sort
    first of each name takes part.
 4. Merge the remaining suffixes, which start at any byte before such a gram, by their
    window and compare adjacent prefixes: of equal ones all but the first by (id, start)
-   are repeats.
+   are repeats. Where a gram has more than ``HOT_NAMES`` names (a common phrase in ever
+   new surroundings), its windows do not meet in the part of the gram: each goes to the
+   part of its own hash, from a group once however often it has it.
 
 Suffixes are ordered by hashes of their stretches rather than by their bytes; any total
 order serves in which equal prefixes are neighbours. Grams are first compared by 32 bits
@@ -39,6 +41,8 @@ from whence.llm.rounds import Group, Rounds, packed, repeated, split
 
 WINDOW = 100
 GRAM = 32
+#: Names up to which the windows under a gram meet in one part.
+HOT_NAMES = 1024
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -118,37 +122,67 @@ class Suffixes:
     def after_triples(self) -> None:
         self.after_grams()
         self.triples()
-        bits = self.group.bits(2, [2 * (b - a) for _, a, b in self.sizes()]).reshape(-1, 2)
+        bits = self.group.bits(2, [3 * (b - a) for _, a, b in self.sizes()]).reshape(-1, 3)
         self.repeat |= bits[self.of, 0]
-        #: The first of a name whose gram has other names too.
-        self.open = ~self.repeat & bits[self.of, 1]
+        #: The first of a name whose gram has other names too: few (open) or many (hot).
+        self.open = ~self.repeat & bits[self.of, 1] & ~bits[self.of, 2]
+        self.hot = ~self.repeat & bits[self.of, 2]
 
     # Round 3: windows under the grams that are still open.
 
+    def hot_windows(self) -> None:
+        """Puts the windows under hot grams in order of (hash, id, start) and marks the first of each hash."""
+        low, count = self.low[self.hot], self.high[self.hot] - self.low[self.hot] + 1
+        starts = ranges(low, count)
+        hashes = self.prefix.hashes(starts, starts + self.window)
+        ids = np.repeat(self.ids[self.hot], count)
+        place = starts + np.repeat(self.place[self.hot] - self.at[self.hot], count)
+        order = np.lexsort((place, ids, hashes))
+        self.hot_starts, self.hot_hashes, self.hot_ids, self.hot_place = starts[order], hashes[order], ids[order], place[order]
+        self.hot_first = heads(self.hot_hashes)
+
+    def shares(self) -> list[tuple[int, slice, slice]]:
+        """Per part that is asked, its stretches of the open positions and of the distinct hot windows."""
+        cold = {p: slice(a, b) for p, a, b in split(self.grams[self.open], self.parts)}
+        hot = {p: slice(a, b) for p, a, b in split(self.hot_hashes[self.hot_first], self.parts)}
+        none = slice(0, 0)
+        return [(p, cold.get(p, none), hot.get(p, none)) for p in sorted(cold.keys() | hot.keys())]
+
     def ask_windows(self) -> list[tuple[int, bytes]]:
         self.after_triples()
-        low, high, grams = self.low[self.open], self.high[self.open], self.grams[self.open]
+        self.hot_windows()
+        low, high = self.low[self.open], self.high[self.open]
         ids, place = self.ids[self.open].astype(self.id_type), (self.place[self.open] - self.at[self.open] + low).astype("<u4")
         counts = (high - low + 1).astype("<u2")
+        first = self.hot_first
+        columns = self.hot_hashes[first], self.hot_ids[first].astype(self.id_type), self.hot_place[first].astype("<u4")
         out = []
-        for p, a, b in split(grams, self.parts):
-            text = self.data[ranges(low[a:b], high[a:b] - low[a:b] + self.window)]
-            size = np.array([b - a], "<u4")
-            out.append((p, b"".join(x.tobytes() for x in (size, ids[a:b], place[a:b], counts[a:b], text))))
+        for p, c, h in self.shares():
+            text = self.data[ranges(low[c], high[c] - low[c] + self.window)]
+            sizes = np.array([c.stop - c.start, h.stop - h.start], "<u4")
+            sent = (sizes, *[x[h] for x in columns], ids[c], place[c], counts[c], text)
+            out.append((p, b"".join(x.tobytes() for x in sent)))
         return out
 
     def repeated_windows(self) -> np.ndarray:
         """Starts of all windows that also start earlier."""
         self.after_triples()
+        self.hot_windows()
         whole = ranges(self.low[self.repeat], self.high[self.repeat] - self.low[self.repeat] + 1)
         low, count = self.low[self.open], self.high[self.open] - self.low[self.open] + 1
-        sizes = [int(count[a:b].sum()) for _, a, b in split(self.grams[self.open], self.parts)]
-        some = ranges(low, count)[self.group.bits(3, sizes)]
-        return np.concatenate([whole, some])
-
-
-def answer_triples(sent: list[bytes], id_type: str) -> list[bytes]:
-    """Two bits a triple: is there an equal one before it; has its gram other names too?"""
+        sizes = np.array([(count[c].sum(), h.stop - h.start) for _, c, h in self.shares()], np.int64).reshape(-1, 2)
+        bits = self.group.bits(3, sizes.sum(axis=1).tolist())
+        is_hot = np.repeat(np.tile([False, True], len(sizes)), sizes.reshape(-1))
+        some = ranges(low, count)[bits[~is_hot]]
+        at = np.flatnonzero(self.hot_first)
+        of = np.cumsum(self.hot_first) - 1
+        head = at[of]
+        later = before(self.hot_ids[head], self.hot_place[head], self.hot_ids, self.hot_place)
+        return np.concatenate([whole, some, self.hot_starts[bits[is_hot][of] | later]])
+
+
+def answer_triples(sent: list[bytes], id_type: str, hot_names: int) -> list[bytes]:
+    """Three bits a triple: is there an equal one before it; has its gram other names; more than ``hot_names``?"""
     wide = np.dtype(id_type).itemsize
     sizes = [len(b) // (20 + wide) for b in sent]
     grams = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(sent, sizes)])
@@ -160,45 +194,63 @@ def answer_triples(sent: list[bytes], id_type: str) -> list[bytes]:
     first = heads(grams, names)
     head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
     under = np.cumsum(heads(grams)) - 1
-    bits = np.empty((len(order), 2), bool)
+    names_of = np.bincount(under, first)[under]
+    bits = np.empty((len(order), 3), bool)
     bits[order, 0] = before(ids[head], place[head], ids, place)
-    bits[order, 1] = np.bincount(under, first)[under] > 1
-    return packed(bits.reshape(-1), [2 * n for n in sizes])
+    bits[order, 1] = names_of > 1
+    bits[order, 2] = names_of > max(hot_names, 1)
+    return packed(bits.reshape(-1), [3 * n for n in sizes])
+
+
+def earlier(hashes: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Does an equal hash start earlier?"""
+    order = np.lexsort((place, ids, hashes))
+    hashes, ids, place = hashes[order], ids[order], place[order]
+    first = heads(hashes)
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    bits = np.empty(len(order), bool)
+    bits[order] = before(ids[head], place[head], ids, place)
+    return bits
 
 
 def answer_windows(sent: list[bytes], id_type: str, window: int) -> list[bytes]:
-    """A bit a window: does an equal one start earlier?"""
+    """A bit a window, first those under open grams, then the hot ones: does an equal one start earlier?"""
     wide = np.dtype(id_type).itemsize
-    ids, place, counts, text, sizes = [], [], [], [], []
+    ids, place, counts, text, hot, sizes = [], [], [], [], [], []
     for b in sent:
-        n = int(np.frombuffer(b, "<u4", 1)[0])
-        ids.append(np.frombuffer(b, id_type, n, 4))
-        place.append(np.frombuffer(b, "<u4", n, 4 + wide * n))
-        counts.append(np.frombuffer(b, "<u2", n, 4 + (wide + 4) * n).astype(np.int64))
-        text.append(np.frombuffer(b, np.uint8, -1, 4 + (wide + 6) * n))
-        sizes.append(int(counts[-1].sum()))
+        n, m = np.frombuffer(b, "<u4", 2).tolist()
+        at = 8 + (12 + wide) * m
+        hot.append((np.frombuffer(b, "<u8", m, 8), np.frombuffer(b, id_type, m, 8 + 8 * m), np.frombuffer(b, "<u4", m, 8 + (8 + wide) * m)))
+        ids.append(np.frombuffer(b, id_type, n, at))
+        place.append(np.frombuffer(b, "<u4", n, at + wide * n))
+        counts.append(np.frombuffer(b, "<u2", n, at + (wide + 4) * n).astype(np.int64))
+        text.append(np.frombuffer(b[at + (wide + 6) * n :], np.uint8))
+        sizes.append((int(counts[-1].sum()), m))
     ids, place, counts, text = (np.concatenate(x) for x in (ids, place, counts, text))
     lengths = counts + window - 1
     starts = ranges(np.cumsum(lengths) - lengths, counts)
     hashes = Prefix(BYTE_VALUES[text]).hashes(starts, starts + window)
-    ids, place = np.repeat(ids, counts), ranges(place.astype(np.int64), counts)
-    order = np.lexsort((place, ids, hashes))
-    hashes, ids, place = hashes[order], ids[order], place[order]
-    first = heads(hashes)
-    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    bits = np.empty(len(order), bool)
-    bits[order] = before(ids[head], place[head], ids, place)
-    return packed(bits, sizes)
+    cold_bits = earlier(hashes, np.repeat(ids, counts), ranges(place.astype(np.int64), counts))
+    hot_bits = earlier(*(np.concatenate(x) for x in zip(*hot)))
+    is_hot = np.repeat(np.tile([False, True], len(sizes)), np.array(sizes).reshape(-1))
+    bits = np.empty(len(is_hot), bool)
+    bits[~is_hot], bits[is_hot] = cold_bits, hot_bits
+    return packed(bits, [n + m for n, m in sizes])
 
 
 def kept_bytes(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, carry: tuple[str, ...] = ()
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    texts: bool = True,
+    carry: tuple[str, ...] = (),
+    hot_names: int = HOT_NAMES,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also spans and kept.
 
     ``spans`` holds the start and end of what goes, in bytes; ``kept`` is the text left,
     without the halves of characters that a span cuts. ``carry`` names further columns of
-    ``docs`` to keep. Rows with the same id and text have the same result.
+    ``docs`` to keep. ``hot_names`` decides where windows meet, never the result. Rows with the same id and text have the same result.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and the window")
@@ -209,7 +261,7 @@ def kept_bytes(
         return Suffixes(group, window, gram, parts, id_type)
 
     rounds.round(lambda group: suffixes(group).ask_grams(), lambda sent: repeated(sent, "<u4"))
-    rounds.round(lambda group: suffixes(group).ask_triples(), lambda sent: answer_triples(sent, id_type))
+    rounds.round(lambda group: suffixes(group).ask_triples(), lambda sent: answer_triples(sent, id_type, hot_names))
     rounds.round(lambda group: suffixes(group).ask_windows(), lambda sent: answer_windows(sent, id_type, window))
 
     def work(group: Group) -> dict:
