@@ -305,3 +305,20 @@ def test_chunks_keep_the_ids_of_texts():
 @pytest.mark.parametrize("run", [windows.kept_words, suffixes.kept_bytes, jaccard.components, edit_walk.document_fingerprints, mixing.production])
 def test_empty_tables(nothing, run):
     assert run(nothing).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [1, 300, 1 << 20])
+def test_open_windows_in_slices(monkeypatch, slice_):
+    monkeypatch.setattr(suffixes, "SLICE", slice_)
+    rng = np.random.default_rng(3)
+    counts, ids = rng.integers(1, 6, 60), rng.integers(0, 9, 60).astype("<u4")
+    place, text = rng.integers(0, 50, 60).astype("<u4"), rng.integers(0, 2, int(counts.sum()) + 60 * 3).astype(np.uint8)
+    rows, at = [], 0
+    for i, p, n in zip(ids.tolist(), place.tolist(), counts.tolist()):
+        rows += [(text[at + j : at + j + 4].tobytes(), (i, p + j)) for j in range(n)]
+        at += n + 3
+    least = {k: min(w for x, w in rows if x == k) for k, _ in rows}
+    found = suffixes.open_windows(ids, place, counts, text, 4)
+    assert found.tolist() == [least[k] < w for k, w in rows]
+    none = np.zeros(0, np.int64)
+    assert len(suffixes.open_windows(none, none, none, text[:0], 4)) == 0

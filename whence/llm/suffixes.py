@@ -43,6 +43,8 @@ WINDOW = 100
 GRAM = 32
 #: Names up to which the windows under a gram meet in one part.
 HOT_NAMES = 1024
+#: Bytes hashed, and windows compared, at a time.
+SLICE = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -213,6 +215,31 @@ def earlier(hashes: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarra
     return bits
 
 
+def open_windows(ids: np.ndarray, place: np.ndarray, counts: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
+    """``earlier`` for all windows of the stretches laid end to end in ``text``.
+
+    Texts are hashed in slices and windows compared by ranges of their hash, so that beyond
+    a hash and a bit a window the memory needed does not grow with their number.
+    """
+    lengths = counts + window - 1
+    ends, text_ends = np.cumsum(counts), np.cumsum(lengths)
+    n = int(counts.sum())
+    hashes = np.empty(n, np.uint64)
+    cuts = np.unique(np.r_[0, np.searchsorted(text_ends, np.arange(SLICE, len(text), SLICE)), len(counts)])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        starts = ranges(text_ends[a:b] - lengths[a:b] - (text_ends[a] - lengths[a]), counts[a:b])
+        part = Prefix(BYTE_VALUES[text[text_ends[a] - lengths[a] : text_ends[b - 1]]])
+        hashes[ends[a] - counts[a] : ends[b - 1]] = part.hashes(starts, starts + window)
+    slices = max(1, -(-n // SLICE))
+    edges = [(k << 64) // slices for k in range(slices + 1)]
+    bits = np.empty(n, bool)
+    for low, high in zip(edges[:-1], edges[1:]):
+        chosen = np.flatnonzero((hashes >= np.uint64(low)) & (hashes <= np.uint64(high - 1)))
+        at = np.searchsorted(ends, chosen, side="right")
+        bits[chosen] = earlier(hashes[chosen], ids[at], place[at] + (chosen - (ends[at] - counts[at])))
+    return bits
+
+
 def answer_windows(sent: list[bytes], id_type: str, window: int) -> list[bytes]:
     """A bit a window, first those under open grams, then the hot ones: does an equal one start earlier?"""
     wide = np.dtype(id_type).itemsize
@@ -224,13 +251,10 @@ def answer_windows(sent: list[bytes], id_type: str, window: int) -> list[bytes]:
         ids.append(np.frombuffer(b, id_type, n, at))
         place.append(np.frombuffer(b, "<u4", n, at + wide * n))
         counts.append(np.frombuffer(b, "<u2", n, at + (wide + 4) * n).astype(np.int64))
-        text.append(np.frombuffer(b[at + (wide + 6) * n :], np.uint8))
+        text.append(np.frombuffer(b, np.uint8)[at + (wide + 6) * n :])
         sizes.append((int(counts[-1].sum()), m))
     ids, place, counts, text = (np.concatenate(x) for x in (ids, place, counts, text))
-    lengths = counts + window - 1
-    starts = ranges(np.cumsum(lengths) - lengths, counts)
-    hashes = Prefix(BYTE_VALUES[text]).hashes(starts, starts + window)
-    cold_bits = earlier(hashes, np.repeat(ids, counts), ranges(place.astype(np.int64), counts))
+    cold_bits = open_windows(ids, place, counts, text, window)
     hot_bits = earlier(*(np.concatenate(x) for x in zip(*hot)))
     is_hot = np.repeat(np.tile([False, True], len(sizes)), np.array(sizes).reshape(-1))
     bits = np.empty(len(is_hot), bool)
