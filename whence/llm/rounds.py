@@ -14,6 +14,7 @@ of their input, so a lost task is simply run again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -53,7 +54,8 @@ class Group:
     """The texts of a group in order of their ids, and the answers it has had so far.
 
     ``ids`` are order values of the ids (the differences from the smallest of all),
-    ``copy`` marks the texts that a row with a smaller id has as well.
+    ``copy`` marks the rows whose text a row with a smaller id has as well; another text
+    under the same id is none.
     """
 
     number: int
@@ -105,7 +107,7 @@ class Rounds:
         self.number = 0
         self.notes = _copies(docs).select(
             group, F.lit(0).alias("round"), F.lit(0).cast("bigint").alias("part"), F.col("id").alias("id"),
-            F.lit(None).cast("binary").alias("data"),
+            F.col("sha").alias("data"),
         )
 
     def each(self, work: Callable[[Group], dict], schema: str) -> DataFrame:
@@ -117,10 +119,10 @@ class Rounds:
             texts = texts.sort_by([("id", "ascending"), ("text", "ascending")])
             ids = texts.column("id").to_numpy()
             rounds = notes.column("round").to_numpy()
-            copies = notes.column("id").filter(pa.array(rounds == 0)).to_numpy()
             group = Group(
                 int(key[0].as_py()), texts.column("doc_id"), ids.astype(np.int64).view(np.uint64) - base,
-                texts.column("text").combine_chunks(), np.isin(ids, copies), {c: texts.column(a) for c, a in names.items()},
+                texts.column("text").combine_chunks(), marked(ids, texts.column("text"), notes.filter(pa.array(rounds == 0))),
+                {c: texts.column(a) for c, a in names.items()},
             )
             later = notes.filter(pa.array(rounds > 0)).sort_by([("round", "ascending"), ("part", "ascending")])
             for number, data in zip(later.column("round").to_pylist(), later.column("data").to_pylist()):
@@ -157,10 +159,19 @@ class Rounds:
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """Ids of the rows whose text a row with a smaller id has too."""
-    keyed = docs.select("id", F.sha2("text", 256).alias("sha"))
+    """id, sha: the rows whose text a row with a smaller id has too."""
+    keyed = docs.select("id", F.unhex(F.sha2("text", 256)).alias("sha"))
     shared = keyed.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return keyed.join(shared.select("sha", "first"), "sha").filter(F.col("id") > F.col("first")).select("id").distinct()
+    return keyed.join(shared.select("sha", "first"), "sha").filter(F.col("id") > F.col("first")).select("id", "sha").distinct()
+
+
+def marked(ids: np.ndarray, texts: pa.ChunkedArray, copies: pa.Table) -> np.ndarray:
+    """Which rows are among the copies? Both the id and the text count; texts under other ids are not hashed."""
+    known = set(zip(copies.column("id").to_pylist(), copies.column("data").to_pylist()))
+    copy = np.isin(ids, copies.column("id").to_numpy())
+    for i in np.flatnonzero(copy).tolist():
+        copy[i] = (int(ids[i]), hashlib.sha256(texts[i].as_buffer()).digest()) in known
+    return copy
 
 
 def repeated(sent: list[bytes], kind: str) -> list[bytes]:
