@@ -62,7 +62,9 @@ class Doubling:
             bits = group.bits(level, [b - a for _, a, b in split(unique, self.parts)])
             known[at] = (bits | (count > 1))[back]
             step = self.lengths[level] - self.lengths[level - 1]
-            fit[: len(fit) - step] &= known[: len(fit) - step] & known[step:]
+            # Where a group has fewer words than a step, no window of this level fits.
+            n = max(len(fit) - step, 0)
+            fit[:n] &= known[:n] & known[step:]
         return np.flatnonzero(fit)
 
     def hashed(self, group: Group, level: int) -> tuple[np.ndarray, np.ndarray]:
