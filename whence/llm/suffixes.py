@@ -12,8 +12,9 @@ suffixes meet in the part that owns the range of their leading hash and are sort
 2. Sort the sampled triples (bytes of the windows before the gram, the gram, bytes of the
    windows after it). Equal neighbours are named alike: all windows of the later ones
    are repeats of those of the first.
-3. Recurse on what the names leave open: a gram under which several names stand. Only the
-   first of each name takes part.
+3. Take what the names leave open: grams under which several names stand. Only the first
+   of each name takes part. There is no recursion on the names and no suffix has a rank:
+   windows have a fixed length, so one more round over them settles all that is open.
 4. Merge the remaining suffixes, which start at any byte before such a gram, by their
    window and compare adjacent prefixes: of equal ones all but the first by (id, start)
    are repeats. Where a gram has more than ``HOT_NAMES`` names (a common phrase in ever
