@@ -253,3 +253,57 @@ def op5_html_extraction(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.page_text import main_text
 
     return main_text(spark.read.parquet(f"{path}/pages.parquet"))
+
+
+def kd_sql() -> str:
+    """DuckDB SQL of the shards: a k-d tree of 16 leaves by windows over whole nodes."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    axes = ["x0", "x1", "x2"]
+    extent = ", ".join(f"(max({x}) - min({x}))::DOUBLE AS e_{x}" for x in axes)
+    parts = [f"""
+    WITH h AS (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    p AS (
+      SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS id, (length(h) // 2 + 1)::BIGINT AS size,
+        xor(list_reduce(
+          list_prepend(4294967295::BIGINT, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+          lambda acc, b: xor(acc >> 8, ({table}::BIGINT[])[xor(acc & 255, b) + 1])
+        ), 4294967295) AS text_crc32,
+        dense_rank() OVER (ORDER BY coalesce(lang, '')) - 1 AS x0, dense_rank() OVER (ORDER BY coalesce(source, '')) - 1 AS x1,
+        least(greatest(coalesce(n_chars, 0), 0), 1099511627776) AS x2
+      FROM h
+    ),
+    e AS (SELECT {extent} FROM p),
+    l0 AS (SELECT *, 0 AS shard FROM p)"""]
+    leaves = 16
+    for i in range(4):
+        widths = [f"coalesce((max({x}) - min({x})) / nullif(any_value(e_{x}), 0), 0)" for x in axes]
+        parts.append(f"""
+    w{i} AS (SELECT shard, {", ".join(f"{w} AS w_{x}" for w, x in zip(widths, axes))} FROM l{i}, e GROUP BY shard),
+    k{i} AS (
+      SELECT l{i}.*, CASE greatest(w_x0, w_x1, w_x2) WHEN w_x0 THEN x0 WHEN w_x1 THEN x1 ELSE x2 END AS k
+      FROM l{i} JOIN w{i} USING (shard)
+    ),
+    l{i + 1} AS (
+      SELECT doc_id, id, size, text_crc32, x0, x1, x2, shard + CASE WHEN
+        2 * sum(size) OVER (PARTITION BY shard ORDER BY k, id) - sum(size) OVER (PARTITION BY shard, k, id)
+        <= 2 * (sum(size) OVER (PARTITION BY shard) // 2) THEN 0 ELSE {leaves // 2} END AS shard
+      FROM k{i}
+    )""")
+        leaves //= 2
+    return ",".join(parts) + """
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (
+        PARTITION BY shard ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id, size, text_crc32
+      ) - 1 AS slot, NULL::INTEGER AS grown_shard
+    FROM l4"""
+
+
+@query(kd_sql())
+def op11_sharding(spark: SparkSession, path: str) -> DataFrame:
+    """Shard and slot of every document in a k-d tree of 16 leaves."""
+    from whence.llm.kd_shards import document_shards
+
+    return document_shards(documents(spark, path))
