@@ -307,3 +307,56 @@ def op11_sharding(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.kd_shards import document_shards
 
     return document_shards(documents(spark, path))
+
+
+@query(
+    f"""
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents
+    ),
+    f AS (
+      SELECT doc_id, part,
+        CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
+      FROM d
+    ),
+    l AS (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id
+    ),
+    n AS (
+      SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+    ),
+    c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    o AS (
+      SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM c a, c b, c x, c y, c z
+      WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5
+    ),
+    s AS (
+      SELECT filter_order, step, filter_order[step] AS filter, 1 << (ascii(filter_order[step]) - 65) AS own,
+        list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS before_
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)
+    ),
+    t AS (SELECT part, n, good, toxic, fails, filter_order, step, filter, own, coalesce(before_, 0)::INTEGER AS before FROM n, s),
+    r AS (
+      SELECT part, filter_order, step::INTEGER AS step, filter,
+        coalesce(sum(n) FILTER (fails & (before | own) = 0), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (fails & own <> 0 AND fails & before = 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (fails & own <> 0 AND fails & before <> 0), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (fails & own <> 0 AND fails & before = 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (fails & own <> 0 AND fails & before = 0), 0)::BIGINT AS toxic_lost
+      FROM t GROUP BY part, filter_order, step, filter
+    )
+    SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+    """
+)
+def op12_filter_interaction_audit(spark: SparkSession, path: str) -> DataFrame:
+    """What five filters keep and remove, in every order, for every source."""
+    from whence.llm.filter_audit import audit
+
+    return audit(documents(spark, path), labels(spark, path))
