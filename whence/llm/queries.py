@@ -255,23 +255,29 @@ def op5_html_extraction(spark: SparkSession, path: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{path}/pages.parquet"))
 
 
-def kd_sql() -> str:
-    """DuckDB SQL of the shards: a k-d tree of 16 leaves by windows over whole nodes."""
+def crc_sql(digits: str) -> str:
+    """DuckDB expression: the unsigned CRC-32 of bytes given as hex digits, a byte after the other."""
     table = []
     for byte in range(256):
         for _ in range(8):
             byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
         table.append(byte)
+    return f"""xor(list_reduce(
+          list_prepend(4294967295::BIGINT, list_transform(
+            range(1, length({digits}) + 1, 2), lambda i: ('0x' || substr({digits}, i, 2))::BIGINT)),
+          lambda acc, b: xor(acc >> 8, ({table}::BIGINT[])[xor(acc & 255, b) + 1])
+        ), 4294967295)"""
+
+
+def kd_sql() -> str:
+    """DuckDB SQL of the shards: a k-d tree of 16 leaves by windows over whole nodes."""
     axes = ["x0", "x1", "x2"]
     extent = ", ".join(f"(max({x}) - min({x}))::DOUBLE AS e_{x}" for x in axes)
     parts = [f"""
     WITH h AS (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents),
     p AS (
       SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS id, (length(h) // 2 + 1)::BIGINT AS size,
-        xor(list_reduce(
-          list_prepend(4294967295::BIGINT, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
-          lambda acc, b: xor(acc >> 8, ({table}::BIGINT[])[xor(acc & 255, b) + 1])
-        ), 4294967295) AS text_crc32,
+        {crc_sql("h")} AS text_crc32,
         dense_rank() OVER (ORDER BY coalesce(lang, '')) - 1 AS x0, dense_rank() OVER (ORDER BY coalesce(source, '')) - 1 AS x1,
         least(greatest(coalesce(n_chars, 0), 0), 1099511627776) AS x2
       FROM h
@@ -360,3 +366,48 @@ def op12_filter_interaction_audit(spark: SparkSession, path: str) -> DataFrame:
     from whence.llm.filter_audit import audit
 
     return audit(documents(spark, path), labels(spark, path))
+
+
+def resample_sql() -> str:
+    """DuckDB SQL of the draw: buckets of distinct features, their gains, and ranks by scores."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+    WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+    f AS (SELECT doc_id, unnest({runs}) AS f FROM d),
+    g AS (SELECT unnest({runs}) AS f FROM (SELECT {words} AS w FROM benchmark)),
+    x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM f UNION SELECT f FROM g)),
+    b AS (SELECT f, {crc_sql("h")} % 10000 AS b FROM x),
+    s AS (SELECT b, count(*) AS n FROM f JOIN b USING (f) GROUP BY b),
+    t AS (SELECT b, count(*) AS n FROM g JOIN b USING (f) GROUP BY b),
+    gain AS (
+      SELECT b, floor(1000 * ln(
+        ((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE)
+        / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)
+      ))::BIGINT AS gain
+      FROM s FULL JOIN t USING (b)
+    ),
+    w AS (SELECT doc_id, sum(gain)::BIGINT AS sum, count(*) AS n FROM f JOIN b USING (f) JOIN gain USING (b) GROUP BY doc_id),
+    v AS (
+      SELECT doc_id, len(d.w) AS words, coalesce(n, 0)::BIGINT AS n_features,
+        coalesce((sum - (sum % n + n) % n) // n, 0)::BIGINT AS weight,
+        ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+      FROM d LEFT JOIN w USING (doc_id)
+    ),
+    o AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM v),
+    r AS (
+      SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place,
+        25 * count(*) FILTER (words >= 20) OVER () // 100 AS size
+      FROM o
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= size THEN place END AS rank FROM r
+    """
+
+
+@query(resample_sql())
+def op13_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark's texts."""
+    from whence.llm.resample import resampled
+
+    return resampled(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
