@@ -2,9 +2,9 @@
 
 AQE splits a skewed partition only where both join inputs come straight from a
 shuffle. A side that was just aggregated does not, so joining rows back to a
-per-key relation needs its own splitting. At most ``HOT_KEYS`` keys can hold
-more than N / HOT_KEYS rows each; those keys fit a broadcast of fixed size, and
-every other key is small by the pigeonhole principle.
+per-key relation needs its own splitting. At most N / ``PART_ROWS`` keys hold more
+than ``PART_ROWS`` rows; up to ``HOT_KEYS`` of them, the heaviest, fit a broadcast of
+fixed size, and so every hot key of up to HOT_KEYS * PART_ROWS (6.5e10) rows is split.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 512
+from whence.session import durable
+from whence.sources.numbering import dense_index
+
+HOT_KEYS = 1 << 16
 PART_ROWS = 1_000_000
 SAMPLE_EVERY = 64
 LIST_ROWS = 10_000
@@ -107,26 +110,31 @@ def bounded_lists(
     item: Column,
     spread: Sequence[str],
     list_rows: int = LIST_ROWS,
-    **kw,
+    **_,
 ) -> DataFrame:
-    """One sorted list of ``item`` per key: columns keys, part, items.
+    """Sorted lists of ``item`` per key: columns keys, part, items.
+
+    Part ``p`` holds the items from place ``p * list_rows`` on in the key's ascending order, so
+    the parts of a key read one after the other are its sorted list, and no task builds an
+    array of more than ``list_rows`` items. Nothing is dropped but items that are NULL.
 
-    A key of more than ``list_rows`` rows comes out as several rows, numbered by
-    ``part``, so no task ever builds an unbounded array. Nothing is dropped.
+    Only keys of more than one part need places. Their rows are range-partitioned by key and
+    item, so one key may span any number of tasks, and numbered by one offset per partition.
     """
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > list_rows)
-        .select(*keys, F.ceil(F.col("__n") / list_rows).cast("int").alias("__lists"))
-    )
-    marked = keyed_join(df, sizes, keys, spread, "left", **kw)
-    part = F.pmod(F.xxhash64(F.lit("part"), *spread), F.coalesce(F.col("__lists"), F.lit(1)))
-    return (
-        marked.select(*keys, part.cast("int").alias("part"), item.alias("__item"))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list("__item")).alias("items"))
-    )
+    keys = list(keys)
+    rows = df.select(*keys, item.alias("__item"), *[F.col(c).alias(f"__s{i}") for i, c in enumerate(spread)])
+    rows = rows.where(F.col("__item").isNotNull())
+    large = durable(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > list_rows).select(*keys))
+    named = large.toDF(*[f"__l_{k}" for k in keys])
+    on = _null_safe(keys, named.columns)
+    part = rows.join(named, on, "left_anti").withColumn("part", F.lit(0))
+    if not large.isEmpty():
+        order = [*keys, "__item", *[f"__s{i}" for i in range(len(spread))]]
+        placed = dense_index(rows.join(named, on, "left_semi"), order, "__row")
+        first = placed.groupBy(*keys).agg(F.min("__row").alias("__first")).toDF(*named.columns, "__first")
+        numbered = placed.join(durable(first), on).withColumn("part", F.expr(f"cast((__row - __first) div {list_rows} as int)"))
+        part = part.unionByName(numbered.select(*part.columns))
+    return part.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("__item")).alias("items"))
 
 
 def top_rows(

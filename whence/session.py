@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,16 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Within, what a query has shuffled is deleted at its end: what is read on is the written table.
+
+    Only on request of a query that writes; a shuffle that is to be reused must not run in here.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Used where branches must see the very same rows (generated ids), between the
     rounds of an iteration, and before a costly relation is read several times.
     The table survives executor loss, and as columns with known sizes it still
-    prunes and picks broadcasts.
+    prunes and picks broadcasts. Shuffle files of the write go at its end.
     """
     path = scratch_dir(df.sparkSession, "table")
-    df.write.parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from whence.operators.frame import LineageFrame, tag
 from whence.session import durable
+from whence.sources.numbering import close_gaps, dense_index  # noqa: F401  (dense_index is used from here)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,48 +50,39 @@ def parse(
     return parts.select(*rest, *out)
 
 
-def dense_index(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFrame:
-    """Number rows 0..n-1 in the order of ``order`` (which must be unique).
-
-    Range partitions are sorted in parallel and written once; the per-partition
-    offsets are one row per partition. There is no global sort in one task.
-    """
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__at", F.monotonically_increasing_id())
-    )
-    return _close_gaps(durable(placed), name)
-
-
 def number_lines(lines: DataFrame, name: str = "row") -> DataFrame:
     """Number the lines of a text source 0..n-1, once and for all.
 
     The numbers are written to the shared folder, so later branches and retried
     tasks see the same ones.
     """
-    return _close_gaps(durable(lines.withColumn("__at", F.monotonically_increasing_id())), name)
+    return close_gaps(durable(lines.withColumn("__at", F.monotonically_increasing_id())), name)
+
 
+def read_numbered(spark: SparkSession, path: str, name: str = "row") -> DataFrame:
+    """Every line below ``path`` with its number 0..n-1 in the order of files and of lines in them.
 
-def _close_gaps(marked: DataFrame, name: str) -> DataFrame:
-    partition = F.shiftright("__at", 33)
-    sizes = marked.groupBy(partition.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per written partition, so both the window and the broadcast are
-    # bounded by the number of tasks that wrote the data.
-    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.col("__at") - F.shiftleft(F.col("__p"), 33)
-    return (
-        marked.withColumn("__p", partition)
-        .join(F.broadcast(offsets), "__p")
-        .withColumn(name, F.col("__before") + within)
-        .drop("__p", "__at", "__before")
-    )
+    A line's place in its block is known from the scan; one row per block (its number of lines)
+    gives the numbers before it. So nothing is written, and the numbers are the same however the
+    files are cut into splits. The text is scanned twice, the first time for counts alone.
+    """
+    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    lines = read_lines(spark, path).select("value", *at, F.monotonically_increasing_id().alias("__at"))
+    blocks = lines.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    # Files are few beside lines: their sums first, then blocks within each.
+    files = blocks.groupBy("__file").agg(F.sum("__n").alias("__n"))
+    before_file = F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("__file", F.coalesce(before_file, F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(files, "__file")
+    start = F.col("__before") + F.col("__inside") - F.col("__first")
+    starts = blocks.select("__file", "__block", start.alias("__start"))
+    return lines.join(starts, ["__file", "__block"]).select("value", (F.col("__start") + F.col("__at")).alias(name))
 
 
 def tag_lines(spark: SparkSession, path: str, name: str) -> LineageFrame:
     """A text source tracked by line number."""
-    return tag(number_lines(read_lines(spark, path)), name, ["row"])
+    return tag(read_numbered(spark, path), name, ["row"])
 
 
 def write_lines(df: DataFrame, path: str, delimiter: str = ",") -> str:
