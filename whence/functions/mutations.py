@@ -16,8 +16,9 @@ from whence.functions.scalars import is_number
 PRINTABLE = "".join(chr(c) for c in range(33, 127) if chr(c) != ",")
 # The per-character draw steps through a prime field.
 CHAR_STEP, CHAR_FIELD = 611_953, 1_000_003
-# Cumulative weights, in thousandths, of the five cell mutations.
-ROULETTE = (("value", 900), ("format", 920), ("value", 940), ("drop", 960), ("blank", 980), ("value", 1000))
+# Weights of the cell mutations, in thousandths and in this order; a value
+# mutation stands thrice, as the number or text change, the flipped category and the rest.
+ROULETTE = (("value", 900), ("format", 20), ("value", 20), ("drop", 20), ("blank", 20), ("value", 20))
 DUMMY = "testdummy"
 KEY_BITS = 31
 
@@ -43,13 +44,24 @@ def is_integer(text: Column) -> Column:
     return text.rlike(r"^[+-]?\d+$")
 
 
+#: Integers of up to so many digits are added to as a whole.
+WHOLE_DIGITS = 36
+
+
 def offset_number(text: Column, h: Column) -> Column:
-    """Add a non-negative integer; text that is no number stays."""
-    whole = (text.try_cast("bigint") + h).cast("string")
+    """Add a non-negative integer; text that is no number stays.
+
+    Of an integer of more than ``WHOLE_DIGITS`` digits only the last 18 change: the
+    integer is added to them modulo 10^18.
+    """
+    whole = F.try_add(text.try_cast("decimal(38,0)"), h.cast("decimal(38,0)")).cast("string")
+    n = F.length(text)
+    low = F.pmod(F.substr(text, n - 17, F.lit(18)).try_cast("bigint") + h, F.lit(10**18)).cast("string")
+    long = F.concat(F.substr(text, F.lit(1), n - 18), F.lpad(low, 18, "0"))
     exact = (text.try_cast("decimal(28,8)") + h.cast("decimal(28,8)")).cast("string")
     trimmed = F.regexp_replace(exact, r"\.?0+$", "")
     number = F.when(is_number(text), F.coalesce(trimmed, text)).otherwise(text)
-    return F.when(is_integer(text), whole).otherwise(number)
+    return F.when(is_integer(text), F.when(n > WHOLE_DIGITS, long).otherwise(whole)).otherwise(number)
 
 
 def number_in_range(h: Column, low: int, high: int) -> Column:
@@ -85,8 +97,9 @@ def roulette(text: Column, rid: Column, tag: str, seed: int = 0, category: str |
         "drop": F.lit(""),
         "blank": F.lit(""),
     }
-    out = None
-    for kind, below in ROULETTE:
+    out, below = None, 0
+    for kind, weight in ROULETTE:
+        below += weight
         out = F.when(point < below, changed[kind]) if out is None else out.when(point < below, changed[kind])
     return out
 
@@ -126,12 +139,14 @@ def consistent_key(old: Column, group: Column, seed: int = 0) -> Column:
 
     A tenth of the groups gets a dummy token, the rest a large number. Both keep
     the old key inside, so two keys never fall together and joins keep their
-    matches. Keys must be integers in [0, 2^31).
+    matches. Keys that are no integers in [0, 2^31) all get the token. Where keys of
+    both kinds meet, or new keys must not look like others of the table, use
+    ``perturb.permute_consistently``.
     """
     h = draw(group, "consistent", seed)
-    key = old.cast("bigint")
-    fits = (key >= 0) & (key < 2**KEY_BITS)
+    text = old.cast("string")
+    key = text.try_cast("bigint")
+    fits = text.rlike(r"^(0|[1-9]\d*)$") & (key >= 0) & (key < 2**KEY_BITS)
     number = (F.shiftleft(h % 2**20, KEY_BITS) + key).cast("string")
-    token = F.concat(F.lit(f"<{DUMMY}:"), key.cast("string"), F.lit(">"))
-    new = F.when(h % 10 == 0, token).otherwise(number)
-    return F.when(fits, new).otherwise(F.raise_error(F.lit("key outside [0, 2^31)")))
+    token = F.concat(F.lit(f"<{DUMMY}:"), text, F.lit(">"))
+    return F.when((h % 10 != 0) & F.coalesce(fits, F.lit(False)), number).otherwise(token)

@@ -152,7 +152,26 @@ def last_index_of(text: Column | str, char: str) -> Column:
 
 
 def floor_div(a: Column | str, b: Column | str) -> Column:
-    return F.floor(as_col(a) / as_col(b))
+    """Integer division toward minus infinity, exact for all 64-bit integers; NULL for a zero divisor."""
+    a, b = as_col(a).cast("bigint"), as_col(b).cast("bigint")
+    divisor = F.nullif(b, F.lit(0).cast("bigint"))
+    below = ((a % divisor) != 0) & ((a < 0) != (b < 0))
+    return F.call_function("div", a, divisor) - F.when(below, 1).otherwise(0)
+
+
+def checked(op: str, a: Column | str, b: Column | str, kind: str = "int", strict: bool = False) -> Column:
+    """``a op b`` (+, - or *) in the integer type ``kind``: NULL where it does not fit, or an error if ``strict``."""
+    a, b = as_col(a).cast(kind), as_col(b).cast(kind)
+    found = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)
+    if not strict:
+        return found
+    known = a.isNotNull() & b.isNotNull() & found.isNull()
+    return F.when(known, F.raise_error(F.lit(f"{kind} overflow in {op}"))).otherwise(found)
+
+
+def negated(a: Column | str, kind: str = "int", strict: bool = False) -> Column:
+    """-a in the integer type ``kind``, checked: its least value has no counterpart."""
+    return checked("-", F.lit(0), a, kind, strict)
 
 
 def floor_mod(a: Column | str, b: Column | str) -> Column:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from whence.functions import mutations as M
-from whence.functions.hashing import coin, draw
+from whence.functions.hashing import coin, draw, permuted
 from whence.functions.scalars import is_number
 from whence.operators.frame import Source, pointer_text
+from whence.session import durable
+from whence.sources.numbering import dense_index
 
 
 def infer_category(df: DataFrame) -> DataFrame:
@@ -122,6 +125,50 @@ def perturb_consistently(source: Source, relation: DataFrame, column: str, seed:
     return joined.withColumn(f"new_{column}", new)
 
 
+def permuted_keys(keys: DataFrame, seed: int = 0) -> DataFrame:
+    """Distinct ``keys`` (one column or more, of any type) and, as ``new_<column>``, the key each becomes.
+
+    The keys are numbered in their order (range partitions, no global sort) and a seeded
+    permutation of the numbers says which key takes whose place. So new keys are of the same
+    type and size as the old ones, no two fall together, and none meets a key that stays.
+    """
+    names = keys.columns
+    numbered = durable(dense_index(keys.distinct(), names, "__rank"))
+    n = numbered.count()
+    if not n:
+        return numbered.select(*names, *[F.col(c).alias(f"new_{c}") for c in names])
+    moved = numbered.select(*names, permuted(F.col("__rank"), n, seed).alias("__to"))
+    return moved.join(numbered.toDF(*[f"new_{c}" for c in names], "__to"), "__to").drop("__to")
+
+
+def permute_consistently(
+    sources: Mapping[str, tuple[Source, Sequence[str]]], relation: DataFrame, seed: int = 0
+) -> dict[str, DataFrame]:
+    """Rows of each source with ``new_<column>`` for its key columns: co-dependent keys change alike.
+
+    ``sources`` maps a name to (source, key columns); the n-th column of each plays the same
+    part of a compound key. A key that stands in a cell of an ``==`` group of ``relation`` moves
+    to the place of another such key, wherever it stands; other keys and NULLs stay. Joins on
+    the keys therefore keep every match, for texts, dates and integers of any size.
+    """
+    parts = [f"__k{i}" for i in range(len(next(iter(sources.values()))[1]))]
+    tied, keyed = [], {}
+    for name, (source, columns) in sources.items():
+        rows = with_rid(source).withColumns({k: F.col(c) for k, c in zip(parts, columns)})
+        keyed[name] = rows
+        cells = relation.where((F.col("op") == "==") & (F.col("ds") == source.name) & F.col("col").isin(*columns))
+        tied.append(rows.join(cells.select("rid").distinct(), "rid", "left_semi").select(*parts))
+    # Written, so its size is known; rows of a hot key are split in the join.
+    mapping = durable(permuted_keys(reduce(DataFrame.unionByName, tied).dropna(subset=parts), seed))
+    out = {}
+    for name, (source, columns) in sources.items():
+        joined = keyed[name].join(mapping, parts, "left")
+        changed = F.col(f"new_{parts[0]}").isNotNull()
+        new = {f"new_{c}": F.when(changed, F.col(f"new_{k}")).otherwise(F.col(k)) for k, c in zip(parts, columns)}
+        out[name] = joined.withColumns(new).drop(*parts, *[f"new_{k}" for k in parts])
+    return out
+
+
 def copy_id(rid: Column, copy_no: Column) -> Column:
     return F.when(copy_no == 0, rid).otherwise(F.concat(rid, F.lit("+"), copy_no.cast("string")))
 

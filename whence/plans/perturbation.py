@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whence.functions import mutations as M
-from whence.functions.hashing import coin_sql, draw_sql
+from whence.functions.hashing import coin_sql, draw_sql, permuted_sql
 from whence.operators import codependence as C
 from whence.operators import perturb as P
-from whence.operators.frame import Source
+from whence.operators.frame import Source, tag
 from whence.plans.codependence import order_keys
-from whence.plans.registry import query
+from whence.plans.registry import LI_RID, query
 from whence.session import durable
 from whence.sources.tables import ROW_KEYS, Tables
 
@@ -197,6 +197,70 @@ def perturb_codependent(t: Tables) -> DataFrame:
     return counted.agg(*[F.count_if(F.col("what") == n).alias(n) for n in ("n_before", "n_after", "changed")])
 
 
+# Text keys of both tables: customers as the orders name them.
+NAMED_SQL = """(SELECT {0} AS rid, 'C' || {1} % 97 || '/' || {1} AS k, {1} AS id FROM {2})"""
+
+
+def _named(t: Tables, table: str, rid: str, key: str) -> Source:
+    name = F.concat(F.lit("C"), (F.col(key) % 97).cast("string"), F.lit("/"), F.col(key).cast("string"))
+    return Source(table, getattr(t, table).select(F.col(rid), name.alias("k")), (rid,))
+
+
+@query(f"""WITH c AS {NAMED_SQL.format('c_custkey::varchar', 'c_custkey', 'customer')},
+  o AS {NAMED_SQL.format('o_orderkey::varchar', 'o_custkey', 'orders')},
+  d AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS r, count(*) OVER () AS n FROM (SELECT k FROM c INTERSECT SELECT k FROM o)),
+  m AS (SELECT d.k, e.k AS k2 FROM d JOIN d e ON e.r = {permuted_sql('d.r', 'd.n')})
+  SELECT ds, rid, k AS before, coalesce(k2, k) AS after FROM
+    (SELECT 'customer' AS ds, rid, k FROM c UNION ALL SELECT 'orders', rid, k FROM o) LEFT JOIN m USING (k)""")
+def perturb_codependent_text(t: Tables) -> DataFrame:
+    """Text keys of two tables change alike: each takes the place of another."""
+    customer, orders = _named(t, "customer", "c_custkey", "c_custkey"), _named(t, "orders", "o_orderkey", "o_custkey")
+    frames = [tag(s.df, s.name, s.key).rename({"k": f"k_{s.name}"}) for s in (customer, orders)]
+    relation = durable(C.join_groups(*frames, ("k_customer", "k_orders"), "name", None))
+    changed = P.permute_consistently({"customer": (customer, ["k"]), "orders": (orders, ["k"])}, relation)
+    parts = [
+        df.select(F.lit(name).alias("ds"), "rid", F.col("k").alias("before"), F.col("new_k").alias("after"))
+        for name, df in changed.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+_PAIR_SQL = """(SELECT l_partkey AS p, l_suppkey AS s, {0} AS rid FROM lineitem WHERE l_linestatus = '{1}')"""
+
+
+@query(f"""WITH a AS {_PAIR_SQL.format(LI_RID, 'F')}, b AS {_PAIR_SQL.format(LI_RID, 'O')},
+  d AS (SELECT p, s, row_number() OVER (ORDER BY p, s) - 1 AS r, count(*) OVER () AS n
+    FROM (SELECT p, s FROM a INTERSECT SELECT p, s FROM b)),
+  m AS (SELECT d.p, d.s, e.p AS p2, e.s AS s2 FROM d JOIN d e ON e.r = {permuted_sql('d.r', 'd.n', 3)}),
+  c AS (SELECT 'a' AS side, p, s, coalesce(p2, p) AS p2, coalesce(s2, s) AS s2 FROM a LEFT JOIN m USING (p, s)
+    UNION ALL SELECT 'b', p, s, coalesce(p2, p), coalesce(s2, s) FROM b LEFT JOIN m USING (p, s))
+  SELECT (SELECT count(*) FROM c x JOIN c y USING (p, s) WHERE x.side = 'a' AND y.side = 'b') AS n_before,
+    (SELECT count(*) FROM c x JOIN c y USING (p2, s2) WHERE x.side = 'a' AND y.side = 'b') AS n_after,
+    (SELECT count(*) FROM c WHERE (p, s) <> (p2, s2)) AS changed,
+    (SELECT sum(p2 * 7 + s2)::BIGINT FROM c) AS checksum""")
+def perturb_codependent_compound(t: Tables) -> DataFrame:
+    """Compound keys (part, supplier) of shipped and open lines change alike; the join keeps its size."""
+    frames, sources = [], {}
+    for side, status in (("a", "F"), ("b", "O")):
+        rows = t.lineitem.where(F.col("l_linestatus") == status).select(
+            *ROW_KEYS["lineitem"], F.struct("l_partkey", "l_suppkey").alias("pair")
+        )
+        frame = tag(rows, side, ROW_KEYS["lineitem"]).rename({"pair": f"pair_{side}"})
+        frames.append(frame.select(f"pair_{side}"))
+        plain = rows.select(*ROW_KEYS["lineitem"], F.col("pair.l_partkey").alias("p"), F.col("pair.l_suppkey").alias("s"))
+        sources[side] = (Source(side, plain, ROW_KEYS["lineitem"]), ["p", "s"])
+    pairs = C.join_groups(*frames, ("pair_a", "pair_b"), "pair", None)
+    relation = durable(pairs.withColumn("col", F.lit("p")))
+    a, b = P.permute_consistently(sources, relation, 3).values()
+    moved = F.count_if((F.col("p") != F.col("new_p")) | (F.col("s") != F.col("new_s"))).alias("changed")
+    sums = a.unionByName(b).agg(moved, F.sum(F.col("new_p") * 7 + F.col("new_s")).alias("checksum"))
+    old = a.select("p", "s").join(b.select("p", "s"), ["p", "s"]).agg(F.count(F.lit(1)).alias("n_before"))
+    keys = ["new_p", "new_s"]
+    new = a.select(*keys).join(b.select(*keys), keys).agg(F.count(F.lit(1)).alias("n_after"))
+    one = [df.withColumn("__one", F.lit(1)) for df in (old, new, sums)]
+    return one[0].join(one[1], "__one").join(one[2], "__one").drop("__one")
+
+
 COPIES = 9
 
 PICK_SQL = f"""(SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)

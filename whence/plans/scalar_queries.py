@@ -30,7 +30,8 @@ def scalar_text(t: Tables) -> DataFrame:
   xor(l_orderkey, l_partkey) AS odd_bits, l_orderkey << 3 AS up, l_orderkey >> 2 AS down, -l_orderkey - 1 AS flipped,
   (l_orderkey - l_partkey) // 7 AS whole, floor((l_orderkey - l_partkey) / 7)::bigint AS floored,
   (((l_orderkey - l_partkey) % 7) + 7) % 7 AS modulo, abs(l_orderkey - l_partkey) AS distance,
-  sign(l_orderkey - l_partkey)::int AS signum FROM lineitem""")
+  sign(l_orderkey - l_partkey)::int AS signum, CASE WHEN l_orderkey >= l_partkey THEN (l_orderkey - l_partkey) >> 2
+    ELSE (18446744073709551616::hugeint + l_orderkey - l_partkey) // 4 END::bigint AS unsigned_down FROM lineitem""")
 def scalar_integers(t: Tables) -> DataFrame:
     a, b = F.col("l_orderkey"), F.col("l_partkey")
     pair = ["l_orderkey", "l_partkey"]
@@ -46,6 +47,7 @@ def scalar_integers(t: Tables) -> DataFrame:
         modulo=(S.floor_mod(a - b, F.lit(7)), pair),
         distance=(F.abs(a - b), pair),
         signum=(F.signum(a - b).cast("int"), pair),
+        unsigned_down=(F.shiftrightunsigned(a - b, 2), pair),
     )
     return f.with_lineage()
 
@@ -96,6 +98,27 @@ def scalar_rounding(t: Tables) -> DataFrame:
     return f.with_lineage()
 
 
+@query(f"""SELECT rid AS lineitem_rid, CASE WHEN k * 70000 BETWEEN -2147483648 AND 2147483647 THEN (k * 70000)::int END AS product,
+  CASE WHEN k + 2147470000 <= 2147483647 THEN (k + 2147470000)::int END AS sum,
+  CASE WHEN -2147470000 - k >= -2147483648 THEN (-2147470000 - k)::int END AS difference,
+  (CASE WHEN k % 7 = 0 THEN NULL ELSE -k END)::int AS negated,
+  (9223372036854775807 - k)::bigint AS large, CASE WHEN k < 5 THEN 9223372036854775803 + k END::bigint AS larger
+  FROM (SELECT {LI_RID} AS rid, l_partkey AS k FROM lineitem)""")
+def scalar_checked(t: Tables) -> DataFrame:
+    """Sums, products and negations that do not fit their type are NULL, not wrapped around."""
+    k, pair = F.col("l_partkey"), ["l_partkey"]
+    least = F.lit(-(2**31))
+    f = t.tagged("lineitem").map(
+        product=(S.checked("*", k, F.lit(70_000)), pair),
+        sum=(S.checked("+", k, F.lit(2_147_470_000)), pair),
+        difference=(S.checked("-", F.lit(-2_147_470_000), k), pair),
+        negated=(S.negated(F.when(k % 7 == 0, least).otherwise(k)), pair),
+        large=(S.checked("-", F.lit(2**63 - 1), k, "bigint", strict=True), pair),
+        larger=(S.checked("+", F.lit(2**63 - 5), k, "bigint"), pair),
+    )
+    return f.with_lineage()
+
+
 @query("""SELECT o_orderkey, o_orderdate > TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-03-01'
     AND o_orderstatus <> 'F' AS inside FROM orders""")
 def date_interval(t: Tables) -> DataFrame:
