@@ -9,11 +9,14 @@ which makes the answer independent of arrival order.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whence.operators.combine import Combiner, combined
 from whence.plans.skew import top_rows, with_group_stats
 
 Keep = Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame]
@@ -89,6 +92,38 @@ def outliers(value: Column, z: float = 3.0) -> Influence:
     return Influence(keep)
 
 
+def custom(tracker: Combiner, *columns: str) -> Influence:
+    """Rows kept by a tracker of one's own: a combiner over ``columns`` and the pointer columns whose
+    result holds the pointer columns of the rows it keeps (``result(state, pointers)`` by name)."""
+
+    def keep(df, keys, ids):
+        schema = ", ".join(f"`{i}` {df.schema[i].dataType.simpleString()}" for i in ids)
+        named = replace(tracker, result=lambda state: tracker.result(state, list(ids)), schema=schema)
+        return combined(df, keys, [*columns, *ids], named)
+
+    return Influence(keep)
+
+
+def extremes(value: str, n: int) -> Influence:
+    """The ``n`` smallest and the ``n`` largest of a column in one pass, ties to the smaller row id."""
+
+    def pruned(rows: pa.Table) -> pa.Table:
+        if len(rows) <= 2 * n:
+            return rows
+        ids = [(c, "ascending") for c in rows.column_names if c != value]
+        ends = [rows.filter(pc.is_valid(rows.column(value)))]
+        ends = [ends[0].sort_by([(value, way), *ids]).slice(0, n) for way in ("ascending", "descending")]
+        both = pa.concat_tables(ends)
+        return both.group_by(both.column_names).aggregate([]).select(rows.column_names)
+
+    tracker = Combiner(
+        add=lambda state, rows: pruned(rows if state is None else pa.concat_tables([state, rows])),
+        merge=lambda a, b: pruned(pa.concat_tables([a, b])),
+        result=lambda state, ids: {i: state.column(i).combine_chunks() for i in ids},
+    )
+    return custom(tracker, value)
+
+
 def any_of(*members: Influence) -> Influence:
     """Rows kept by at least one member.
 

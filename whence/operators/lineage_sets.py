@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whence.operators.frame import LineageFrame
+from whence.session import durable
+from whence.sources.numbering import dense_index
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -39,6 +42,36 @@ def bitmaps(df: DataFrame, keys: Sequence[str], rid: str) -> DataFrame:
     )
 
 
+def id_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct values of ``columns`` (a row id of any type, compound or not) and their ``bit``, from 0 without gaps."""
+    return durable(dense_index(df.select(*columns).distinct(), list(columns), "bit"))
+
+
+def keyed_bitmaps(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ids: DataFrame) -> DataFrame:
+    """As ``bitmaps`` for row ids that are no integers, by their bits in a dictionary that all sets share."""
+    named = ids.toDF(*[f"__id{i}" for i in range(len(columns))], "__bit")
+    on = [F.col(c).eqNullSafe(F.col(f"__id{i}")) for i, c in enumerate(columns)]
+    return bitmaps(df.join(named, on), keys, "__bit")
+
+
+def bitmap_intersection(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ids that both sets of a key have; buckets of one side alone hold none."""
+    both = a.unionByName(b).groupBy(*keys, "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    return both.where("n = 2").drop("n")
+
+
+def bitmap_algebra(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n_a, n_b, n_both, n_either, n_only_a: sizes of two sets per key and of what they make together."""
+    sized = [
+        bitmap_sizes(sets, keys).withColumnRenamed("n", name)
+        for sets, name in ((a, "n_a"), (b, "n_b"), (bitmap_intersection(a, b, keys), "n_both"))
+    ]
+    names = ["n_a", "n_b", "n_both"]
+    wide = [df.select(*keys, *[F.col(n) if n in df.columns else F.lit(0).cast("bigint").alias(n) for n in names]) for df in sized]
+    sums = reduce(DataFrame.unionByName, wide).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    return sums.select("*", (F.col("n_a") + F.col("n_b") - F.col("n_both")).alias("n_either"), (F.col("n_a") - F.col("n_both")).alias("n_only_a"))
+
+
 def bitmap_union(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.unionByName(b).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
@@ -71,7 +104,9 @@ def fault_report(frame: LineageFrame, flagged: Column, source: str, fault: Colum
 def entries(frame: LineageFrame, level: str) -> DataFrame:
     """Number of lineage entries kept for a result at level none, row or cell."""
     if level == "none":
-        counted = frame.plain.limit(0).select(F.lit(None).alias("x")).agg(F.count("x").alias("n"))
+        # Pointer columns that the untracked result carries along, for each of its rows.
+        carried = [c for c in frame.plain.columns if c in frame.pointers]
+        counted = frame.plain.agg((F.count(F.lit(1)) * len(carried)).alias("n"))
     elif level == "row":
         ids = [i.select(F.lit(1).alias("x")) for i in frame.trace_ids().values()]
         rows = ids[0]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from whence.functions import scalars as S
 from whence.operators.frame import LineageFrame
 from whence.plans.registry import LI_RID, query
-from whence.plans.skew import bounded_lists, keyed_join
+from whence.plans.skew import LIST_ROWS, bounded_lists, keyed_join
 from whence.sources.tables import ROW_KEYS, Tables
 
 LI_KEY = ROW_KEYS["lineitem"]
@@ -149,8 +149,10 @@ def delay_bucket_counts(t: Tables) -> DataFrame:
     return joined.where(late).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT l_orderkey, 0 AS part, string_agg(l_suppkey::varchar, ',' ORDER BY l_suppkey) AS suppliers
-  FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2 AND avg(l_quantity) < 12""")
+@query(f"""SELECT l_orderkey, part, string_agg(l_suppkey::varchar, ',' ORDER BY l_suppkey) AS suppliers FROM
+  (SELECT *, ((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) - 1) // {LIST_ROWS})::int AS part FROM lineitem
+   WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2 AND avg(l_quantity) < 12))
+  GROUP BY l_orderkey, part""")
 def low_mean_groups(t: Tables) -> DataFrame:
     items = t.lineitem
     low = (

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whence.functions import scalars as S
-from whence.functions.hashing import coin_sql
+from whence.functions.hashing import coin_sql, poisson_sql
 from whence.operators import influence as I
 from whence.operators import lineage_sets as L
+from whence.operators.combine import Combiner
 from whence.operators.frame import LineageFrame, tag
 from whence.plans.apps import (
     BRACKET_SQL,
@@ -21,9 +22,10 @@ from whence.plans.apps import (
     class_totals,
 )
 from whence.plans.registry import LI_RID, query
+from whence.plans.skew import LIST_ROWS
 from whence.session import scratch_dir
 from whence.sources.tables import Tables
-from whence.sources.text import parse, read_lines, write_lines
+from whence.sources.text import parse, read_lines, tag_lines, write_lines
 
 LI_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
 
@@ -167,16 +169,21 @@ def aggregate_by_key_lineage(t: Tables) -> DataFrame:
     return items(t).agg(["l_linestatus"], count_as="n_rows", mean=(mean, ["l_quantity"])).plain
 
 
-@query("""SELECT o_custkey, 0 AS part, string_agg(o_orderkey::varchar, ',' ORDER BY o_orderkey::varchar) AS rids
-  FROM orders GROUP BY o_custkey""")
+#: Orders with the part of their customer's list that they stand in.
+PARTS_SQL = f"""(SELECT *, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey::varchar) - 1) // {LIST_ROWS})::int AS part
+  FROM orders)"""
+
+
+@query(f"""SELECT o_custkey, part, string_agg(o_orderkey::varchar, ',' ORDER BY o_orderkey::varchar) AS rids
+  FROM {PARTS_SQL} GROUP BY o_custkey, part""")
 def group_by_key_lineage(t: Tables) -> DataFrame:
     lists = t.tagged("orders").group_lists(["o_custkey"], F.col("o_totalprice"))
     return lists.select("o_custkey", "part", F.array_join("items.rid", ",").alias("rids"))
 
 
-@query("""SELECT o_custkey, 0 AS part, string_agg(o_orderkey::varchar || '=' ||
+@query(f"""SELECT o_custkey, part, string_agg(o_orderkey::varchar || '=' ||
     (round(o_totalprice * 200))::bigint::varchar, ',' ORDER BY o_orderkey::varchar) AS elements, count(*)::int AS n
-  FROM orders GROUP BY o_custkey""")
+  FROM {PARTS_SQL} GROUP BY o_custkey, part""")
 def group_elements_lineage(t: Tables) -> DataFrame:
     lists = t.tagged("orders").group_lists(["o_custkey"], F.col("o_totalprice"), "price")
 
@@ -229,6 +236,43 @@ def sample_sources(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(f"""SELECT rid AS orders_rid, c_name, o_totalprice FROM (SELECT o_orderkey::varchar AS rid, *,
+    unnest(range(0, {poisson_sql('o_orderkey', 'draw', 0.8, 5)})) AS i FROM orders) JOIN customer ON o_custkey = c_custkey""")
+def resample_with_replacement(t: Tables) -> DataFrame:
+    """Orders drawn 0.8 times each on average; a join below sees the very same draw."""
+    drawn = t.tagged("orders").select("o_custkey", "o_totalprice").sample(0.8, 5, replacement=True)
+    customers = t.tagged("customer").select("c_custkey", "c_name")
+    joined = drawn.join(customers, [("o_custkey", "c_custkey")]).select("c_name", "o_totalprice")
+    return joined.with_lineage().drop("customer_rid")
+
+
+@query("""SELECT o_orderkey::varchar AS orders_rid, o_totalprice FROM orders
+  ORDER BY md5(concat_ws(':', o_orderkey, 'take', '3')), o_orderkey LIMIT 200""")
+def sample_exact_k(t: Tables) -> DataFrame:
+    return t.tagged("orders").take_sample(200, 3).select("o_totalprice").with_lineage()
+
+
+@query(f"""SELECT 'orders' AS ds, o_orderkey::varchar AS rid FROM orders WHERE {poisson_sql('o_orderkey', 'draw', 0.3, 9)} > 0
+  AND o_orderstatus = 'F'""")
+def traced_resample(t: Tables) -> DataFrame:
+    """A trace of a draw with replacement finds the rows that were drawn."""
+    drawn = t.tagged("orders").sample(0.3, 9, replacement=True)
+    counts = drawn.agg(["o_orderstatus"], n=(F.count(F.lit(1)), []))
+    return counts.trace_rids(F.col("o_orderstatus") == "F")
+
+
+@query("""SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::varchar AS lines_rid, c_mktsegment AS segment, c_nationkey AS nation
+  FROM customer WHERE c_nationkey < 9""")
+def tag_text_lines(t: Tables) -> DataFrame:
+    """Key-less text: a line is known by its number in its files, from the scan alone."""
+    small = t.customer.where("c_nationkey < 9").select("c_custkey", "c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    path = write_lines(small, scratch_dir(t.spark, "lines"))
+    lines = tag_lines(t.spark, path, "lines")
+    part = F.split("value", ",")
+    fields = lines.derive("nation", part[1].cast("int"), ["value"]).derive("segment", part[2], ["value"])
+    return fields.select("segment", "nation").with_lineage()
+
+
 # -- influence ---------------------------------------------------------------------
 
 def _kept(influence: I.Influence, t: Tables) -> DataFrame:
@@ -279,10 +323,75 @@ INFLUENCE = {
     ),
 }
 
+INFLUENCE["custom_tracker"] = (
+    lambda: I.extremes("l_quantity", 2),
+    f"""{_ranked_sql("l_quantity DESC", 2)} UNION {_ranked_sql("l_quantity", 2)}""",
+)
+
 for _name, (_influence, _sql) in INFLUENCE.items():
     query(_sql, _name)(lambda t, make=_influence: _kept(make(), t))
 
 
+@query("""SELECT l_suppkey, sum(l_quantity)::bigint AS total, max(l_quantity)::bigint AS largest, count(*) AS n_rows
+  FROM lineitem GROUP BY l_suppkey""")
+def combiner_lineage(t: Tables) -> DataFrame:
+    """A combiner of one's own (create, add, merge, finish) with the rows below each group."""
+    totals = items(t).combine(["l_suppkey"], ["l_quantity"], quantities())
+    counts = totals.edge_counts().withColumnRenamed("l_suppkey", "key")
+    return totals.plain.join(counts, F.col("l_suppkey") == F.col("key")).drop("key")
+
+
+def quantities() -> Combiner:
+    def add(state, rows):
+        values = rows.column("l_quantity").to_numpy()
+        total, largest = state or (0.0, 0.0)
+        return total + float(values.sum()), max(largest, float(values.max()))
+
+    return Combiner(
+        add, lambda a, b: (a[0] + b[0], max(a[1], b[1])),
+        lambda state: {"total": [int(state[0])], "largest": [int(state[1])]}, "total bigint, largest bigint",
+    )
+
+
+@query("""SELECT 'lineitem' AS ds, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    strftime(l_shipdate, '%Y-%m-%d')) AS rid FROM lineitem WHERE l_suppkey = 3""")
+def traced_combiner(t: Tables) -> DataFrame:
+    return items(t).combine(["l_suppkey"], ["l_quantity"], quantities()).trace_rids(F.col("l_suppkey") == 3)
+
+
+_LINES_SQL = """(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::int AS place FROM documents)"""
+
+
+def long_lines():
+    """(place, size) of the lines of a text that have over 400 characters."""
+
+    class LongLines:
+        def eval(self, text: str):
+            for place, line in enumerate((text or "").split("\n")):
+                if len(line) > 400:
+                    yield place, len(line)
+
+    return F.udtf(LongLines, returnType="place int, size int", useArrow=True)
+
+
+def measured_lines(t: Tables) -> LineageFrame:
+    return t.tagged("documents").select("text", "lang").table_function(long_lines(), ["text"], ["place", "size"])
+
+
+@query(f"""SELECT doc_id::varchar AS documents_rid, place, length(line)::int AS size FROM {_LINES_SQL} WHERE length(line) > 400""")
+def udtf_lineage(t: Tables) -> DataFrame:
+    """Rows of a table function carry the pointer of the row that they come from."""
+    return measured_lines(t).select("place", "size").with_lineage()
+
+
+@query(f"""SELECT DISTINCT 'documents' AS ds, 'text' AS col, doc_id::varchar AS rid FROM {_LINES_SQL}
+  WHERE length(line) > 400 AND place = 0""")
+def traced_udtf(t: Tables) -> DataFrame:
+    longest = measured_lines(t).agg(["place"], size=(F.max("size"), ["size"]))
+    return longest.cells(flagged=F.col("place") == 0)
+
+
 # -- sets and traces ----------------------------------------------------------------
 
 
@@ -337,6 +446,80 @@ def lineage_cells(t: Tables) -> DataFrame:
     return best_customers(t).cells()
 
 
+_BUYERS_SQL = "(SELECT o_orderpriority, count(DISTINCT (c_name, c_mktsegment)) AS n FROM {0} GROUP BY o_orderpriority)"
+_BUYS_SQL = "(SELECT DISTINCT o_orderpriority, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE {0})"
+
+
+@query(f"""WITH a AS {_BUYS_SQL.format("o_orderstatus = 'F'")}, b AS {_BUYS_SQL.format('o_totalprice > 300000')},
+  i AS (SELECT * FROM a INTERSECT SELECT * FROM b), u AS (SELECT * FROM a UNION SELECT * FROM b)
+  SELECT o_orderpriority, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, coalesce(i.n, 0) AS n_both, u.n AS n_either,
+    coalesce(a.n, 0) - coalesce(i.n, 0) AS n_only_a
+  FROM {_BUYERS_SQL.format('u')} u LEFT JOIN {_BUYERS_SQL.format('a')} a USING (o_orderpriority)
+  LEFT JOIN {_BUYERS_SQL.format('b')} b USING (o_orderpriority) LEFT JOIN {_BUYERS_SQL.format('i')} i USING (o_orderpriority)""")
+def lineage_bitmap_algebra(t: Tables) -> DataFrame:
+    """Sets of customers, known by two text columns, as bitmaps over one dictionary: and, or, and-not."""
+    customers = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    bought = t.orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    rid = ["c_name", "c_mktsegment"]
+    ids = L.id_dictionary(customers, rid)
+    sets = [
+        L.keyed_bitmaps(bought.where(cond), ["o_orderpriority"], rid, ids)
+        for cond in ("o_orderstatus = 'F'", "o_totalprice > 300000")
+    ]
+    return L.bitmap_algebra(*sets, ["o_orderpriority"])
+
+
+_NATIONS_SQL = """lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'"""
+
+
+@query(f"""SELECT DISTINCT 'nation' AS ds, 'n_name' AS col, c_nationkey::varchar AS rid FROM {_NATIONS_SQL} AND s_nationkey < 5
+  UNION SELECT DISTINCT 'nation', 'n_regionkey', s_nationkey::varchar FROM {_NATIONS_SQL} AND s_nationkey < 5
+  UNION SELECT DISTINCT 'nation', 'n_nationkey', s_nationkey::varchar FROM {_NATIONS_SQL} AND s_nationkey < 5
+  UNION SELECT DISTINCT 'supplier', 's_nationkey', s_suppkey::varchar FROM {_NATIONS_SQL} AND s_nationkey < 5""")
+def cells_two_roles(t: Tables) -> DataFrame:
+    """One source in two roles: the buyer's nation is read for its name, the seller's for its region."""
+    buyers = t.tagged("nation", "buyer").select("n_nationkey", "n_name").rename({"n_nationkey": "b_key", "n_name": "buyer"})
+    sellers = t.tagged("nation", "seller").select("n_nationkey", "n_regionkey").rename({"n_nationkey": "s_key"})
+    lines = items(t).filter(F.col("l_returnflag") == "R").select("l_orderkey", "l_suppkey")
+    rows = (
+        lines.join(t.tagged("orders").select("o_orderkey", "o_custkey"), [("l_orderkey", "o_orderkey")])
+        .join(t.tagged("customer").select("c_custkey", "c_nationkey"), [("o_custkey", "c_custkey")])
+        .join(t.tagged("supplier").select("s_suppkey", "s_nationkey"), [("l_suppkey", "s_suppkey")])
+        .join(buyers, [("c_nationkey", "b_key")])
+        .join(sellers, [("s_nationkey", "s_key")])
+        .derive("seller", F.least("s_nationkey", "s_key"), ["s_nationkey", "s_key"])
+        .agg(["seller", "n_regionkey"], names=(F.max("buyer"), ["buyer"]))
+    )
+    return rows.cells(flagged=F.col("seller") < 5)
+
+
+@query("""SELECT c_custkey::varchar AS customer_rid, o_orderkey::varchar AS orders_rid, c_custkey, o_totalprice
+  FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON o_custkey = c_custkey""")
+def left_join_lineage(t: Tables) -> DataFrame:
+    """A row without a partner has no lineage on that side."""
+    dear = t.tagged("orders").filter(F.col("o_totalprice") > 400_000).select("o_custkey", "o_totalprice")
+    joined = t.tagged("customer").select("c_custkey").join(dear, [("c_custkey", "o_custkey")], "left")
+    return joined.select("c_custkey", "o_totalprice").with_lineage()
+
+
+@query("""SELECT 'customer' AS ds, c_custkey::varchar AS rid FROM customer WHERE c_nationkey = 3
+  UNION ALL SELECT 'orders', o_orderkey::varchar FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE c_nationkey = 3 AND o_totalprice > 400000""")
+def traced_left_join(t: Tables) -> DataFrame:
+    dear = t.tagged("orders").filter(F.col("o_totalprice") > 400_000).select("o_custkey", "o_totalprice")
+    joined = t.tagged("customer").select("c_custkey", "c_nationkey").join(dear, [("c_custkey", "o_custkey")], "left")
+    nations = joined.agg(["c_nationkey"], total=(F.sum("o_totalprice"), ["o_totalprice"]))
+    return nations.trace_rids(F.col("c_nationkey") == 3)
+
+
+@query("""SELECT c_custkey::varchar AS customer_rid, c_custkey FROM customer
+  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
+def anti_join_lineage(t: Tables) -> DataFrame:
+    dear = t.tagged("orders").filter(F.col("o_totalprice") > 300_000)
+    return t.tagged("customer").select("c_custkey").join(dear, [("c_custkey", "o_custkey")], "left_anti").with_lineage()
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 450000 AND o_orderstatus = 'F'")
 def trace_back_filter(t: Tables) -> DataFrame:
     f = t.tagged("orders").filter(F.col("o_totalprice") > 450000).select("o_orderkey", "o_orderstatus")
@@ -389,7 +572,7 @@ def fault_trace_report(t: Tables) -> DataFrame:
     return L.fault_report(means, F.col("mean") < 25, "lineitem", F.col("l_quantity") < 3)
 
 
-@query(f"""SELECT 'none' AS level, count(*) FILTER (p_partkey IS NULL) AS n FROM part
+@query(f"""SELECT 'none' AS level, 0 * count(DISTINCT p_partkey) AS n FROM part
   UNION ALL SELECT 'row', (SELECT count(*) FROM ({_ALL_SQL.replace('FROM lineitem', "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#12'")}))
     + (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#12')
   UNION ALL SELECT 'cell', 2 * count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#12'""")

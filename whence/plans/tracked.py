@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whence.functions import scalars as S
-from whence.operators.frame import LineageFrame, pointer_text
+from whence.operators.frame import LineageFrame
 from whence.plans.apps import (
     BRACKET_SQL,
     CLASS_SQL,
@@ -27,10 +25,7 @@ def count_rows() -> tuple[Column, list[str]]:
 
 def rids(frame: LineageFrame, flagged: Column | None = None) -> DataFrame:
     """(ds, rid) of every source row behind the flagged outputs."""
-    parts = []
-    for name, ids in frame.trace_ids(flagged).items():
-        parts.append(ids.select(F.lit(name).alias("ds"), pointer_text(ids, ids.columns).alias("rid")))
-    return reduce(DataFrame.unionByName, parts)
+    return frame.trace_rids(flagged)
 
 
 def traced_sql(rows: str, **sources: str) -> str:
