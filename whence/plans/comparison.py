@@ -46,6 +46,35 @@ def diff_columns(t: Tables) -> DataFrame:
     return D.diff_columns(labelled(False), labelled(True), LI_KEY)
 
 
+def _runs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders, and a run of which some rows are missing, some changed and some new."""
+    a = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 89 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    b = a.where("o_orderkey % 97 <> 0").withColumn("o_totalprice", price)
+    return a, b.unionByName(a.where("o_orderkey % 101 = 0").withColumn("o_orderkey", -F.col("o_orderkey")))
+
+
+_RUNS_SQL = """a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders),
+  b AS (SELECT k, CASE WHEN k % 89 = 0 THEN p + 1 ELSE p END AS p FROM a WHERE k % 97 <> 0
+    UNION ALL SELECT -k, p FROM a WHERE k % 101 = 0),
+  d AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'only_a' WHEN a.k IS NULL THEN 'only_b'
+    WHEN a.p <> b.p THEN 'changed' END AS status FROM a FULL JOIN b ON a.k = b.k)"""
+
+
+@query(f"""WITH {_RUNS_SQL} SELECT 'rows' AS status, '' AS columns, (SELECT count(*) FROM a) AS rows_a,
+  (SELECT count(*) FROM b) AS rows_b, count(*) FILTER (status = 'only_a') AS only_a,
+  count(*) FILTER (status = 'only_b') AS only_b, count(*) FILTER (status = 'changed') AS changed FROM d""")
+def compare_runs(t: Tables) -> DataFrame:
+    a, b = _runs(t)
+    return D.compare_runs(t.spark, a, lambda: b, ["o_orderkey"])
+
+
+@query(f"""WITH {_RUNS_SQL} SELECT k AS o_orderkey, status, (status <> 'only_b')::int::bigint AS n_a,
+  (status <> 'only_a')::int::bigint AS n_b FROM d WHERE status IS NOT NULL""")
+def diff_rows(t: Tables) -> DataFrame:
+    return D.diff_rows(*_runs(t), ["o_orderkey"])
+
+
 def rules() -> dict[str, Column]:
     """Conditions under which a row would break the programs."""
     price, tax = F.col("l_extendedprice"), F.col("l_tax")
