@@ -130,3 +130,42 @@ def test_pick_group_is_one_group(people):
     c, o = people
     relation = C.join_groups(c, o, ("cid", "owner"), "k", None)
     assert C.pick_group(relation, 3).select("group_id").distinct().count() == 1
+
+
+def subsets(groups):
+    return {g for g, cells in groups.items() if any(cells < other for other in groups.values())}
+
+
+@pytest.mark.parametrize("bound", [0, 4])
+def test_subsets_of_frequent_cells(rows, monkeypatch, bound):
+    """Groups that share nothing but frequent cells, beside one large group and single cells."""
+    monkeypatch.setattr(C, "PAIRS", bound)
+    rng = random.Random(8)
+    groups = {f"g{i}": frozenset(rng.sample(range(14), rng.randint(1, 11))) for i in range(250)}
+    groups |= {"large": frozenset(range(10, 80)), "inside": frozenset(range(20, 45)), "apart": frozenset({99, 3})}
+    data = [(g, "==", "t", "c", str(c)) for g, cells in groups.items() for c in cells]
+    left = C.drop_subsets(rows(data, "group_id string, op string, ds string, col string, rid string"))
+    distinct = {}
+    for g, cells in sorted(groups.items()):
+        distinct.setdefault(cells, g)
+    want = {g for g in distinct.values() if g not in subsets(groups)}
+    assert {r["group_id"] for r in left.select("group_id").distinct().collect()} == want
+
+
+def test_listed_pairs_stay_in_proportion(rows, monkeypatch):
+    """All groups share two cells that stand in every group; pairs per cell would grow with the square."""
+    listed = []
+    real = C._covered
+    monkeypatch.setattr(C, "_covered", lambda cells, pairs, others: listed.append(pairs.count()) or real(cells, pairs, others))
+    sizes = {}
+    for n in (100, 400):
+        data = []
+        for i in range(n):
+            cells = ["all", "every", f"a{i % 10}", f"b{i // 10 % 10}", f"c{i // 100}"]
+            data += [(f"g{i}", "==", "t", "c", c) for c in cells]
+            data += [(f"s{i}", "==", "t", "c", c) for c in (cells[:2] + cells[3:])]
+        listed.clear()
+        left = C.drop_subsets(rows(data, "group_id string, op string, ds string, col string, rid string"))
+        assert {r[0] for r in left.select("group_id").distinct().collect()} == {f"g{i}" for i in range(n)}
+        sizes[n] = listed[-1], len(data)
+    assert all(pairs <= C.PAIRS * cells for pairs, cells in sizes.values())

@@ -23,8 +23,8 @@ from whence.sources.text import dense_index
 
 CELL = ["ds", "col", "rid"]
 COLUMNS = ["group_id", "op", *CELL]
+#: Rows of a group and source that stand for it in a reduced table.
 WITNESS_ROWS = 5
-SAMPLE_SHARE = 0.1
 
 
 # -- monitors ---------------------------------------------------------------------
@@ -51,7 +51,7 @@ def _label(label: str, *keys: Column) -> Column:
 
 
 def join_groups(
-    left: LineageFrame, right: LineageFrame, on: tuple[str, str], label: str, cap: int | None = WITNESS_ROWS
+    left: LineageFrame, right: LineageFrame, on: tuple[str, str], label: str, cap: int | None = None
 ) -> DataFrame:
     """Key cells of the rows that meet in ``left`` join ``right``, one group per key.
 
@@ -79,11 +79,12 @@ def group_groups(
     frame: LineageFrame,
     keys: Sequence[str],
     label: str,
-    share: float = SAMPLE_SHARE,
-    cap: int | None = WITNESS_ROWS,
+    share: float = 1.0,
+    cap: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Key cells of a repeatable row sample, grouped by key."""
+    """Key cells grouped by key: all of them, or on request of a repeatable ``share`` of
+    the rows and of at most ``cap`` rows per key."""
     slim = frame.select(*keys)
     if share < 1:
         slim = slim.filter(coin(pointer_text(slim.df, slim.pointers), "group", share, seed))
@@ -115,39 +116,82 @@ def consolidate(*relations: DataFrame) -> DataFrame:
 # -- normal form --------------------------------------------------------------------
 
 
+#: Cells of a group that are looked at one by one, rarest first, before pairs are listed; and
+#: how many pairs may be listed, as a multiple of the cells.
+PREFIX_CELLS = 8
+PAIRS = 4
+
+
 def drop_subsets(relation: DataFrame, transitive: Sequence[str] | None = None) -> DataFrame:
     """Drop copies of a group and groups strictly inside a larger one.
 
     ``transitive`` names the operators whose groups may absorb others (default:
-    all). A group inside another shares its rarest cell with it, so only the
-    groups on that cell are candidates; no cell lists all its pairs of groups.
+    all). A containing group has all cells of the contained one, so also its rarest, its two
+    rarest, and so on. These prefixes form a tree over all groups; a level of it attaches to
+    each node the groups that have all cells on the way there, so that groups with a common
+    prefix share the work and no cell lists pairs of its groups. It goes down while the pairs
+    that the nodes stand for are more than ``PAIRS`` times the cells, at most ``PREFIX_CELLS``
+    levels; what is left is listed and decided by all its cells.
     """
     cells = durable(relation.select(*COLUMNS).distinct())
     sized = durable(
         with_group_stats(cells, ["group_id", "op"], [F.count(F.lit(1)).alias("n")], CELL)
     )
     kept = durable(_without_copies(sized))
-    frequency = kept.groupBy(*CELL).agg(F.count(F.lit(1)).alias("f"))
-    rated = keyed_join(kept, frequency, CELL, ["group_id"])
-    rarest = (
-        rated.groupBy("group_id", "n")
-        .agg(F.min(F.struct("f", *CELL)).alias("r"))
-        .where("r.f > 1")
-        .select(F.col("group_id").alias("sub"), F.col("n").alias("sub_n"), *[F.col(f"r.{c}").alias(c) for c in CELL])
-    )
     absorbing = kept if transitive is None else kept.where(F.col("op").isin(*transitive))
     absorbing = absorbing.select(F.col("group_id").alias("sup"), F.col("n").alias("sup_n"), *CELL)
-    pairs = (
-        keyed_join(absorbing, rarest, CELL, ["sup"])
-        .where("sup_n > sub_n")
-        .select("sub", "sup", "sub_n")
-    )
-    inside = _covered(kept, durable(pairs), absorbing).select("sub").distinct()
+    inside = _contained(kept, absorbing)
     return keyed_join(
         kept, inside.withColumnRenamed("sub", "group_id"), ["group_id"], CELL, "left_anti"
     ).select(*COLUMNS)
 
 
+def prefixes(kept: DataFrame) -> DataFrame:
+    """sub, sub_n, cells, nodes: the rarest cells of every group whose rarest cell others have too, and
+    a name for each stretch from the first on."""
+    frequency = kept.groupBy(*CELL).agg(F.count(F.lit(1)).alias("f"))
+    rated = keyed_join(kept, frequency, CELL, ["group_id"])
+    # Pruned below the exchange, so a group of any size leaves a task with a few cells.
+    first = top_rows(rated, ["group_id"], [F.col(c).asc() for c in ("f", *CELL)], PREFIX_CELLS)
+    lists = first.groupBy(F.col("group_id").alias("sub"), F.col("n").alias("sub_n")).agg(
+        F.array_sort(F.collect_list(F.struct("f", *CELL))).alias("cells")
+    )
+    stretch = lambda i: F.md5(F.to_json(F.slice("cells", F.lit(1), i)))
+    nodes = F.transform(F.sequence(F.lit(1), F.size("cells")), stretch)
+    return lists.where("cells[0].f > 1").withColumn("nodes", nodes)
+
+
+def _contained(kept: DataFrame, absorbing: DataFrame) -> DataFrame:
+    """sub: the groups that lie strictly inside another."""
+    subs = durable(prefixes(kept))
+    bound = PAIRS * kept.count()
+    found, held = [], None
+    for k in range(1, PREFIX_CELLS + 1):
+        cell = F.col("cells")[k - 1]
+        level = subs.where(F.size("cells") >= k).select(
+            (F.col("nodes")[k - 2] if k > 1 else F.lit("")).alias("above"), F.col("nodes")[k - 1].alias("node"),
+            *[cell[c].alias(c) for c in CELL], "sub_n",
+        )
+        children = durable(level.groupBy("above", "node", *CELL).agg(F.min("sub_n").alias("least")))
+        if held is None:
+            met = keyed_join(absorbing, children.drop("above"), CELL, ["sup"]).where("sup_n > least")
+        else:
+            below = held.withColumnRenamed("node", "above").join(children, "above").where("sup_n > least")
+            met = below.join(absorbing.select("sup", *CELL), ["sup", *CELL], "left_semi")
+        held = durable(met.select("node", "sup", "sup_n"))
+        at = held.groupBy("node").agg(F.max("sup_n").alias("most"), F.count(F.lit(1)).alias("sups"))
+        named = durable(subs.where(F.size("cells") >= k).withColumn("node", F.col("nodes")[k - 1]).join(at, "node"))
+        # All cells of these have been looked at.
+        found.append(named.where(f"sub_n = {k} AND most > sub_n").select("sub"))
+        pairs = named.where(f"sub_n > {k}").agg(F.sum("sups")).first()[0] or 0
+        if pairs <= bound:
+            break
+    pairs = subs.where(f"sub_n > {k}").select("sub", "sub_n", F.col("nodes")[k - 1].alias("node")).join(held, "node")
+    listed = durable(pairs.where("sup_n > sub_n").select("sub", "sup", "sub_n"))
+    found.append(_covered(kept, listed, absorbing).select("sub"))
+    return durable(reduce(DataFrame.unionByName, found).distinct())
+
+
 def _without_copies(sized: DataFrame) -> DataFrame:
     """Keep one group (the least id) of every set of equal groups of an operator."""
     code = F.xxhash64(*CELL)
@@ -268,11 +312,16 @@ def row_map(ids: DataFrame, sources: Mapping[str, Source]) -> DataFrame:
 
 
 def remap(relation: DataFrame, rows: DataFrame) -> DataFrame:
-    """Cells re-addressed to the witness rows; cells outside them are left out."""
+    """Cells re-addressed to the witness rows; ``left_out`` has those of other rows."""
     moved = keyed_join(relation, rows, ["ds", "rid"], ["group_id", "op", "col"])
     return moved.select("group_id", "op", "ds", "col", F.col("row").cast("string").alias("rid"))
 
 
+def left_out(relation: DataFrame, rows: DataFrame) -> DataFrame:
+    """The cells that ``remap`` has no new address for."""
+    return keyed_join(relation, rows.select("ds", "rid"), ["ds", "rid"], ["group_id", "op", "col"], "left_anti")
+
+
 def row_level(relation: DataFrame) -> DataFrame:
     return relation.select("ds", "rid").distinct()
 

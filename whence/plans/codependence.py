@@ -42,6 +42,18 @@ def codep_join(t: Tables) -> DataFrame:
     return order_keys(t, 3)
 
 
+@query(ORDER_KEYS_SQL)
+def codep_join_full(t: Tables) -> DataFrame:
+    """All rows of every key, hot or not."""
+    return order_keys(t, None)
+
+
+@query(f"""SELECT 'suppkey:' || l_suppkey AS group_id, '==' AS op, 'lineitem' AS ds, 'l_suppkey' AS col,
+  {LI_RID} AS rid FROM lineitem""")
+def codep_group_full(t: Tables) -> DataFrame:
+    return C.group_groups(t.tagged("lineitem"), ["l_suppkey"], "suppkey")
+
+
 def supplier_groups(t: Tables) -> DataFrame:
     return C.group_groups(t.tagged("lineitem"), ["l_suppkey"], "suppkey", 0.1, 3)
 
@@ -167,6 +179,15 @@ def codep_remap(t: Tables) -> DataFrame:
     return C.remap(C.consolidate(order_keys(t, None), supplier_groups(t)), rows)
 
 
+@query(f"""SELECT ds, count(*) AS n FROM (SELECT group_id, op, ds, col, rid FROM ({ORDER_KEYS_SQL})
+   UNION ALL SELECT * FROM ({SUPPLIER_GROUPS_SQL})) r ANTI JOIN {MAP_SQL} m USING (ds, rid) GROUP BY ds""")
+def codep_left_out(t: Tables) -> DataFrame:
+    """How many cells of each source stand in no witness row."""
+    relation, rows = _witnesses(t)
+    rest = C.left_out(C.consolidate(order_keys(t, None), supplier_groups(t)), rows)
+    return rest.groupBy("ds").agg(F.count(F.lit(1)).alias("n"))
+
+
 def branches() -> dict[str, object]:
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
     return {
