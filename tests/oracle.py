@@ -47,7 +47,7 @@ def compare(spark, con, name: str, path: str, build=None, sql: str | None = None
     out = {"name": name, "rows": len(got), "seconds": round(seconds, 2), "ok": True, "why": ""}
     sql = sql or oracle_sql().get(name)
     if not sql:
-        return out
+        return out | {"ok": False, "why": "there is no SQL to compare with"}
     res = con.execute(sql)
     names = [d[0] for d in res.description]
     want = res.fetchall()
@@ -84,7 +84,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     path = sys.argv[1]
     con = connect(path)
-    names = sys.argv[2:] or list(queries())
+    names = sys.argv[2:] or list(oracle_sql())
     bad = 0
     for name in names:
         try:
