@@ -159,7 +159,8 @@ def fault_counts(df: DataFrame, rules: Mapping[str, Column], rid: Column) -> Dat
 def failure_summary(failures: DataFrame, key: Sequence[str], batch: str) -> DataFrame:
     """Distinct failures with their count, first batch, and how many distinct
     failures were known by then."""
-    distinct = failures.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(batch).alias("first_batch"))
+    # Written: it is read for the counts per batch and again for the failures.
+    distinct = durable(failures.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(batch).alias("first_batch")))
     # Runs over one row per batch, not over the failures.
     per_batch = distinct.groupBy("first_batch").agg(F.count(F.lit(1)).alias("new"))
     known = F.sum("new").over(Window.orderBy("first_batch")).alias("known")
@@ -192,6 +193,22 @@ def coverage_progress(df: DataFrame, branches: Mapping[str, Column], batch: Colu
     )
 
 
+def run_report(failures: DataFrame, key: Sequence[str], batch: str, progress: DataFrame) -> DataFrame:
+    """Per batch of a run: failures, distinct ones, those first seen in it, those known by then, and coverage so far.
+
+    ``failures`` has ``key`` and ``batch``; ``progress`` is what ``coverage_progress`` gives. A batch
+    without failures stands with zeros.
+    """
+    seen = durable(failures.groupBy(*key, F.col(batch).alias("batch")).agg(F.count(F.lit(1)).alias("n")))
+    per_batch = seen.groupBy("batch").agg(F.sum("n").alias("failures"), F.count(F.lit(1)).alias("distinct_failures"))
+    first = seen.groupBy(*key).agg(F.min("batch").alias("batch")).groupBy("batch").agg(F.count(F.lit(1)).alias("new_failures"))
+    names = ["failures", "distinct_failures", "new_failures"]
+    wide = progress.join(per_batch, "batch", "left").join(first, "batch", "left").fillna(0, names)
+    # One row per batch.
+    known = F.sum("new_failures").over(Window.orderBy("batch"))
+    return wide.select("batch", *names, known.alias("known_failures"), "covered", "running_share")
+
+
 def progress_points(progress: DataFrame) -> DataFrame:
     """Only the batches at which the running share rose."""
     before = F.lag("running_share", 1, -1.0).over(Window.orderBy("batch"))

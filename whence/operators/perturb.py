@@ -192,6 +192,33 @@ def extend_groups(relation: DataFrame, group: DataFrame, copies: int) -> DataFra
     return relation.unionByName(added)
 
 
+def keyed_copies(
+    sources: Mapping[str, tuple[Source, Sequence[str]]], keys: int = 3, values: int = 3, seed: int = 0
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``keys`` times ``values`` copies of one row of each source, to feed its groups: (rows by name, relation).
+
+    The row is chosen by the hash of its id. Copies have ids ``rid+n``; every ``values`` copies in a
+    row form a group of equal key cells, over all sources, in the relation of ``==`` groups. So
+    once groups are changed consistently, there are ``keys`` new keys with ``values`` rows each.
+    """
+    rows, cells = {}, []
+    for name, (source, columns) in sources.items():
+        own = with_rid(source)
+        one = own.orderBy(draw("rid", "row", seed), "rid").limit(1).select("rid").withColumn("__hit", F.lit(keys * values))
+        # One row, so its side of the join is.
+        hit = own.join(F.broadcast(one), "rid", "left")
+        numbered = hit.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("__hit", F.lit(0)))).alias("copy_no")).drop("__hit")
+        rows[name] = numbered.withColumn("rid", copy_id(F.col("rid"), F.col("copy_no")))
+        group = F.concat(F.lit("copies:"), F.expr(f"cast((n - 1) div {values} as string)"))
+        added = one.select("rid", F.explode(F.sequence(F.lit(1), F.lit(keys * values))).alias("n"))
+        added = added.select(
+            group.alias("group_id"), F.lit("==").alias("op"), F.lit(source.name).alias("ds"),
+            F.explode(F.array(*[F.lit(c) for c in columns])).alias("col"), copy_id(F.col("rid"), F.col("n")).alias("rid"),
+        )
+        cells.append(added)
+    return rows, reduce(DataFrame.unionByName, cells)
+
+
 def perturb_together(
     sources: Mapping[str, tuple[Source, str, Sequence[str]]],
     relation: DataFrame,

@@ -163,6 +163,21 @@ def branch_coverage(t: Tables) -> DataFrame:
     return D.coverage_progress(t.lineitem, branches(), F.date_format("l_shipdate", "yyyy-MM"))
 
 
+@query(f"""WITH f AS (SELECT unnest(rules) AS rule, l_returnflag AS message, strftime(l_shipdate, '%Y-%m') AS batch FROM {MARKED_SQL}),
+  b AS (SELECT batch, count(*) AS n, count(DISTINCT (rule, message)) AS d FROM f GROUP BY batch),
+  s AS (SELECT batch, count(*) AS n FROM (SELECT min(batch) AS batch FROM f GROUP BY rule, message) GROUP BY batch)
+  SELECT p.batch, coalesce(b.n, 0)::bigint AS failures, coalesce(b.d, 0)::bigint AS distinct_failures,
+    coalesce(s.n, 0)::bigint AS new_failures, (sum(coalesce(s.n, 0)) OVER (ORDER BY p.batch))::bigint AS known_failures,
+    covered, running_share FROM {PROGRESS_SQL} p LEFT JOIN b USING (batch) LEFT JOIN s USING (batch)""")
+def run_report(t: Tables) -> DataFrame:
+    """Failures and coverage of a run, month by month."""
+    failures = checked_lines(t).select(
+        F.explode(D.fault_labels(rules())).alias("rule"), F.col("l_returnflag").alias("message"),
+        F.date_format("l_shipdate", "yyyy-MM").alias("month"),
+    )
+    return D.run_report(failures, ["rule", "message"], "month", branch_coverage(t))
+
+
 @query(f"""SELECT batch, covered, running_share FROM {PROGRESS_SQL}
   QUALIFY running_share > coalesce(lag(running_share) OVER (ORDER BY batch), -1)""")
 def coverage_points(t: Tables) -> DataFrame:

@@ -13,6 +13,7 @@ from whence.operators.frame import Source, tag
 from whence.plans.codependence import order_keys
 from whence.plans.registry import LI_RID, query
 from whence.session import durable
+from whence.sources.schemas import schema
 from whence.sources.tables import ROW_KEYS, Tables
 
 PRINTABLE_SQL = M.PRINTABLE.replace("'", "''")
@@ -309,3 +310,44 @@ def perturb_combined(t: Tables) -> DataFrame:
     changed = P.perturb_together(sources, relation, group, COPIES)
     parts = [df.select(F.lit(name).alias("ds"), "rid", "col", "before", "after") for name, df in changed.items()]
     return parts[0].unionByName(parts[1])
+
+
+def _fodder_sql(table: str, key: str, column: str) -> str:
+    pick = f"(SELECT {key} FROM {table} ORDER BY {draw_sql(key, 'row')}, {key}::varchar LIMIT 1)"
+    h = draw_sql("g", "consistent")
+    text = f"CASE WHEN {h} % 10 = 0 THEN '<{M.DUMMY}:' || k || '>' ELSE ({h} % 1048576 * 2147483648 + k)::varchar END"
+    return f"""SELECT '{table}' AS ds, rid, copy_no, k::varchar AS before, CASE WHEN copy_no = 0 THEN k::varchar ELSE {text} END AS after
+      FROM (SELECT *, 'copies:' || ((copy_no - 1) // 3) AS g, id || CASE WHEN copy_no = 0 THEN '' ELSE '+' || copy_no END AS rid
+        FROM (SELECT {key}::varchar AS id, {column} AS k,
+          unnest(range(0, CASE WHEN {key} = {pick} THEN 10 ELSE 1 END))::int AS copy_no FROM {table}))"""
+
+
+@query(f"{_fodder_sql('customer', 'c_custkey', 'c_nationkey')} UNION ALL {_fodder_sql('orders', 'o_orderkey', 'o_custkey')}")
+def duplicate_keys_values(t: Tables) -> DataFrame:
+    """Nine copies of a row of each table in three groups; the keys of a group change together."""
+    sources = {"customer": (source(t, "customer"), ["c_nationkey"]), "orders": (source(t, "orders"), ["o_custkey"])}
+    rows, relation = P.keyed_copies(sources)
+    parts = []
+    for name, (own, (column,)) in sources.items():
+        changed = P.perturb_consistently(own, relation, column, 0, rows[name])
+        parts.append(
+            changed.select(
+                F.lit(name).alias("ds"), "rid", "copy_no", F.col(column).cast("string").alias("before"),
+                F.col(f"new_{column}").alias("after"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+_PART_TEXTS = {"p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type"}
+
+
+@query(cells_sql(
+    {c: (text, scramble_sql(text, wide_sql("p_partkey::varchar", c))) for c, text in _PART_TEXTS.items()}
+    | {"p_size": ("p_size::varchar", f"({wide_sql('p_partkey::varchar', 'p_size')} % 50 + 1)::varchar")},
+    "part", "p_partkey::varchar",
+))
+def perturb_declared(t: Tables) -> DataFrame:
+    """Cells of a table change as its declaration says: texts freely, sizes within their range."""
+    declared = P.declared_categories(schema("part"))
+    return P.perturb(P.with_rid(source(t, "part")), list(declared), P.by_schema(declared))

@@ -1,49 +1,107 @@
-"""Declared inputs of the small programs: column types, categories, ranges."""
+"""Declared inputs of the programs and tables: column types, categories, ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Dataset -> "name type category [min max]" per column, in file order.
-# Categories are N (numerical), C (categorical) and O (other).
-_DECLARED = {
-    "ages": "zip string N, age int N, income int N",
-    "income": "zip string N, age int N, income int N",
-    "trips": "mode string O, from_zip string N, to_zip string N, distance int N, time int N",
-    "locations": "zip string N, lat double N, lng double N, city string O, state_id string O, state string O, "
-    "zcta boolean O, parent string O, population int N, density double N, county_fips int N, county string O, "
-    "weights string O, county_names string O, county_fips_all string N, imprecise boolean O, military boolean O, "
-    "timezone string O",
-    "customers": "customer_id string O, name string O, location string O",
-    "orders": "order_id string N, customer_id string O, epoch_s int N, item string O",
-    "stations": "trip_id string O, time int N, advertised int N, route string O",
-    "deliveries": "delivery_id string O, customer string O, vendor string O, rating double N",
-    "lines": "line string O",
-    "salaries": "salary string N",
-    "flights": "flight_id int N, flight_no string C, sched_dep string O, sched_arr string O, dep_airport string C, "
-    "arr_airport string C, status string C, aircraft string O, actual_dep string O, actual_arr string O",
-    "airports": "code string C, name string C, city string C, coord_a double N, coord_b double N, timezone string C",
-    "circles": "x int N, y int N, r int N",
-    "loans": "principal double N, years int N, rate double N, name string O",
-    "ratings": "title string O, rating int N",
-    "numbers": "n int N, m int N",
-    "grades": "course string O, score int N",
-    "boxes": "url string O, x int N, y int N, height int N, width int N, box_id int N, type string O",
-    "rectangles": "id string O, x int N, y int N, h int N, w int N",
+
+def number(name: str, kind: T.DataType, low: int | None = None, high: int | None = None) -> T.StructField:
+    """A numerical column, on request with the range that changed values stay in."""
+    limits = {} if low is None else {"min": low, "max": high}
+    return T.StructField(name, kind, True, {"category": "numerical", **limits})
+
+
+def category(name: str) -> T.StructField:
+    """A text column with few values."""
+    return T.StructField(name, T.StringType(), True, {"category": "categorical"})
+
+
+def other(name: str, kind: T.DataType | None = None) -> T.StructField:
+    return T.StructField(name, kind or T.StringType(), True, {"category": "other"})
+
+
+INT, DOUBLE, TEXT, BOOLEAN = T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()
+
+# The columns of the programs' datasets with their categories, in file order.
+PROGRAMS = {
+    "ages": [
+        number("zip", TEXT), number("age", INT), number("income", INT),
+    ],
+    "income": [
+        number("zip", TEXT), number("age", INT), number("income", INT),
+    ],
+    "trips": [
+        other("mode"), number("from_zip", TEXT), number("to_zip", TEXT), number("distance", INT), number("time", INT),
+    ],
+    "locations": [
+        number("zip", TEXT), number("lat", DOUBLE), number("lng", DOUBLE), other("city"), other("state_id"),
+        other("state"), other("zcta", BOOLEAN), other("parent"), number("population", INT), number("density", DOUBLE),
+        number("county_fips", INT), other("county"), other("weights"), other("county_names"),
+        number("county_fips_all", TEXT), other("imprecise", BOOLEAN), other("military", BOOLEAN), other("timezone"),
+    ],
+    "customers": [
+        other("customer_id"), other("name"), other("location"),
+    ],
+    "orders": [
+        number("order_id", TEXT), other("customer_id"), number("epoch_s", INT), other("item"),
+    ],
+    "stations": [
+        other("trip_id"), number("time", INT), number("advertised", INT), other("route"),
+    ],
+    "deliveries": [
+        other("delivery_id"), other("customer"), other("vendor"), number("rating", DOUBLE),
+    ],
+    "lines": [
+        other("line"),
+    ],
+    "salaries": [
+        number("salary", TEXT),
+    ],
+    "flights": [
+        number("flight_id", INT), category("flight_no"), other("sched_dep"), other("sched_arr"),
+        category("dep_airport"), category("arr_airport"), category("status"), other("aircraft"), other("actual_dep"),
+        other("actual_arr"),
+    ],
+    "airports": [
+        category("code"), category("name"), category("city"), number("coord_a", DOUBLE), number("coord_b", DOUBLE),
+        category("timezone"),
+    ],
+    "circles": [
+        number("x", INT), number("y", INT), number("r", INT),
+    ],
+    "loans": [
+        number("principal", DOUBLE), number("years", INT), number("rate", DOUBLE), other("name"),
+    ],
+    "ratings": [
+        other("title"), number("rating", INT),
+    ],
+    "numbers": [
+        number("n", INT), number("m", INT),
+    ],
+    "grades": [
+        other("course"), number("score", INT),
+    ],
+    "boxes": [
+        other("url"), number("x", INT), number("y", INT), number("height", INT), number("width", INT),
+        number("box_id", INT), other("type"),
+    ],
+    "rectangles": [
+        other("id"), number("x", INT), number("y", INT), number("h", INT), number("w", INT),
+    ],
 }
-_CATEGORIES = {"N": "numerical", "C": "categorical", "O": "other"}
+
+#: Columns of the tables here that changes may touch; nations and sizes keep to their ranges.
+TABLES = {
+    "customer": [other("c_name"), number("c_nationkey", INT, 0, 24), number("c_acctbal", DOUBLE), category("c_mktsegment")],
+    "part": [other("p_name"), category("p_brand"), category("p_type"), number("p_size", INT, 1, 50)],
+}
+
+_DECLARED = PROGRAMS | TABLES
 
 
 def schema(dataset: str) -> T.StructType:
     """Types and per-column metadata {category[, min, max]} of a declared dataset."""
-    out = T.StructType()
-    for column in _DECLARED[dataset].split(", "):
-        name, kind, category, *limits = column.split()
-        meta = {"category": _CATEGORIES[category]}
-        if limits:
-            meta |= {"min": int(limits[0]), "max": int(limits[1])}
-        out.add(name, T.DataType.fromDDL(kind), True, meta)
-    return out
+    return T.StructType(list(_DECLARED[dataset]))
 
 
 def datasets() -> list[str]:
