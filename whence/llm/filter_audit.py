@@ -1,12 +1,12 @@
 """Interaction of document filters, from a sparse document-term matrix.
 
-Words of stretches of about ``SLICE_BYTES`` of text become compressed sparse rows: a shard
-holds, for its documents, how often each of its own words occurs. Its words go once into a
-dictionary of all words, which numbers them; every shard gets the numbers of its words back
-and so becomes a shard of the one matrix. A word costs one row per shard, however frequent.
-Row sums (words) and numbers of nonzero entries (distinct words) decide the first two filters;
-the others are flags that come along with a row: capitals, signs, and whether a document with a
-smaller id has the same text, by SHA-256.
+Texts are dealt over groups (``rounds``). A group finds its distinct words and sends each
+once to the part that holds it; the parts number the words they hold, and with its number
+every word of the group becomes a column of the one matrix. So a group is a shard of it in
+compressed sparse rows, a word costs one entry per shard however frequent it is, and equal
+words have equal columns in all shards. Row sums (words) and numbers of nonzero entries
+(distinct words) decide the first two filters; the others are flags that come along with a
+row: capitals, signs, and whether a document with a smaller id has the same text.
 
 Filters, in the order of their bits:
 
@@ -28,36 +28,22 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from whence.llm.kernels import IS_SEPARATOR, Words, buffers
-from whence.llm.token_files import slices
+from whence.llm.rounds import Group, Rounds, part_of
 from whence.session import durable
-from whence.sources.text import dense_index
 
-#: Text bytes of a shard.
-SLICE_BYTES = 2 << 20
 LETTERS = "ABCDE"
 LEAST_WORDS = 50
 LEAST_DISTINCT = 65
 MOST_CAPITALS = 5
 SIGNS = b"#$%&*|"
-#: Order value of a NULL id.
-LEAST = -(2**63)
-
 IS_SIGN = np.isin(np.arange(256), list(SIGNS))
 
-SHARD = (
-    "shard bigint, doc_id array<bigint>, part array<string>, sha array<binary>, n_points array<bigint>, "
-    "n_capitals array<bigint>, has_sign array<boolean>, starts array<int>, columns array<int>, counts array<int>, words array<string>"
-)
-ROW = (
-    "doc_id bigint, part string, sha binary, n_words bigint, n_distinct bigint, n_points bigint, n_capitals bigint, has_sign boolean"
-)
+ROW = "doc_id bigint, part string, n_words bigint, n_distinct bigint, n_points bigint, n_capitals bigint, has_sign boolean, copy boolean"
+SHARD = "shard bigint, doc_ids array<bigint>, starts array<bigint>, columns array<bigint>, counts array<bigint>"
 
 
 def per_text(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,108 +52,146 @@ def per_text(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return upto[offsets[1:]] - upto[offsets[:-1]]
 
 
-def sparse_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Compressed sparse rows (starts, columns, counts) of a stretch of texts over its own words."""
-    words = Words(data, offsets)
-    ends = np.concatenate([[0], np.cumsum(words.ends - words.starts, dtype=np.int64)])
-    letters = pa.py_buffer(data[~IS_SEPARATOR[data]])
-    found = pa.Array.from_buffers(pa.large_string(), len(words.starts), [None, pa.py_buffer(ends), letters])
-    coded = found.dictionary_encode()
-    size = max(1, len(coded.dictionary))
-    cells = np.repeat(np.arange(len(words.counts)), words.counts) * size + coded.indices.to_numpy()
-    cells.sort()
-    opens = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(opens, len(cells)))
-    cells = cells[opens]
-    starts = np.searchsorted(cells, np.arange(len(words.counts) + 1) * size)
-    return starts, cells % size, counts, coded.dictionary
-
-
-def local_shards(docs: DataFrame) -> DataFrame:
-    """A row for each stretch of texts: its documents' ids and flags, their rows, and its words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("part"),
-        text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"),
-    )
-    schema = to_arrow_schema(StructType.fromDDL(SHARD))
-
-    def one(kind: pa.DataType, values) -> pa.Array:
-        values = values if isinstance(values, pa.Array) else pa.array(values)
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind.value_type))
-
-    def work(batches):
-        number = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in slices(whole, SLICE_BYTES):
-                data, offsets = buffers(batch.column("text"))
-                starts, columns, counts, words = sparse_rows(data, offsets)
-                found = {
-                    "doc_id": batch.column("doc_id"), "part": batch.column("part"), "sha": batch.column("sha"),
-                    "n_points": per_text((data & 0xC0) != 0x80, offsets),
-                    "n_capitals": per_text((data >= 65) & (data <= 90), offsets),
-                    "has_sign": per_text(IS_SIGN[data], offsets) > 0,
-                    "starts": starts, "columns": columns, "counts": counts, "words": words,
-                }
-                arrays = [pa.array([number], pa.int64()), *[one(schema.field(k).type, v) for k, v in found.items()]]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-                number += 1
-
-    return slim.mapInArrow(work, SHARD)
-
-
-def dictionary(shards: DataFrame) -> DataFrame:
-    """word, number: all words of the shards, numbered without gaps in byte order."""
-    return dense_index(shards.select(F.explode("words").alias("word")).distinct(), ["word"], "number")
-
-
-def matrix_rows(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """A row per document, from the shards of the matrix over the common dictionary."""
-    own = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    numbers = own.join(words, "word").select(F.col("shard").alias("of"), "place", "number")
-    schema = to_arrow_schema(StructType.fromDDL(ROW))
-
-    def rows(key, shard, numbers):
-        column = np.zeros(len(numbers), np.int64)
-        column[numbers.column("place").to_numpy()] = numbers.column("number").to_numpy()
-        row = {c: shard.column(c).combine_chunks().flatten() for c in shard.column_names if c != "shard"}
-        starts, counts = row["starts"].to_numpy(), row["counts"].to_numpy()
-        sums, nonzero = row_sums(starts, column[row["columns"].to_numpy()], counts)
-        found = {c: row[c] for c in ("doc_id", "part", "sha", "n_points", "n_capitals", "has_sign")}
-        return pa.table(found | {"n_words": sums, "n_distinct": nonzero}).select(schema.names).cast(schema)
-
-    slim = shards.drop("words")
-    return slim.groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(rows, ROW)
+class Terms:
+    """The distinct words of a group, in the order of the parts that hold them, and where they occur."""
+
+    def __init__(self, group: Group, parts: int):
+        self.data, self.offsets = buffers(group.texts)
+        words = Words(self.data, self.offsets)
+        ends = np.concatenate([[0], np.cumsum(words.ends - words.starts, dtype=np.int64)])
+        letters = pa.py_buffer(self.data[~IS_SEPARATOR[self.data]])
+        found = pa.Array.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(ends), letters])
+        coded = found.dictionary_encode()
+        code = coded.indices.to_numpy()
+        # Codes count up, so a word stands first where the largest code so far grows.
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1) > 0) if len(code) else code
+        order, self.stretches = by_part(words.values(self.data)[first], parts)
+        self.words = coded.dictionary.take(pa.array(order))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.code, self.counts = place[code], words.counts
+
+    def ask(self) -> list[tuple[int, bytes]]:
+        """Per part, the lengths and the bytes of its words."""
+        data, ends = buffers_of(self.words)
+        sizes = np.diff(ends).astype("<u4")
+        return [
+            (part, np.uint32(b - a).tobytes() + sizes[a:b].tobytes() + data[ends[a] : ends[b]]) for part, a, b in self.stretches
+        ]
+
+    def numbers(self, group: Group) -> np.ndarray:
+        """The number of each word in the common dictionary: its part and its place there."""
+        places = [np.frombuffer(b, "<u4").astype(np.int64) for b in group.answers.get(1, [])]
+        assert [len(p) for p in places] == [b - a for _, a, b in self.stretches], "answers that do not fit the questions"
+        found = [(part << 32) + p for (part, _, _), p in zip(self.stretches, places)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def rows(self, group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Compressed sparse rows over the common dictionary: starts, columns, counts."""
+        size = max(1, len(self.words))
+        cells = np.repeat(np.arange(len(self.counts)), self.counts) * size + self.code
+        cells.sort()
+        opens = np.flatnonzero(np.diff(cells, prepend=-1))
+        counts = np.diff(np.append(opens, len(cells)))
+        cells = cells[opens]
+        starts = np.searchsorted(cells, np.arange(len(self.counts) + 1) * size)
+        return starts, self.numbers(group)[cells % size], counts
+
+
+def by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the hashes by part, and (part, from, to) of each part's stretch."""
+    part = part_of(hashes, parts)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    at = (np.flatnonzero(np.diff(part)) + 1).tolist()
+    return order, list(zip(part[[0, *at]].tolist(), [0, *at], [*at, len(part)])) if len(part) else []
+
+
+def buffers_of(words: pa.Array) -> tuple[memoryview, np.ndarray]:
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), ends
+
+
+def numbered(sent: list[bytes]) -> list[bytes]:
+    """The number of each word that a part is sent: its place among the part's distinct words."""
+    sizes = [int(np.frombuffer(b, "<u4", 1)[0]) for b in sent]
+    lengths = np.concatenate([np.frombuffer(b, "<u4", n, 4) for b, n in zip(sent, sizes)])
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    letters = b"".join(memoryview(b)[4 + 4 * n :] for b, n in zip(sent, sizes))
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    found = words.dictionary_encode().indices.to_numpy().astype("<u4")
+    upto = np.cumsum(sizes)
+    return [found[e - n : e].tobytes() for n, e in zip(sizes, upto)]
+
+
+class Matrix:
+    """The document-term matrix of ``docs``, its words numbered in one round."""
+
+    def __init__(self, docs: DataFrame):
+        self.rounds = Rounds(docs, ("source",))
+        parts = self.parts = self.rounds.parts
+        self.rounds.round(lambda group: Terms(group, parts).ask(), numbered)
+
+    def shards(self) -> DataFrame:
+        """The matrix: a row per shard, with the ids of its documents and their compressed sparse rows."""
+        parts = self.parts
+
+        def work(group: Group) -> dict:
+            starts, columns, counts = Terms(group, parts).rows(group)
+            found = {"doc_ids": group.doc_ids.combine_chunks(), "starts": starts, "columns": columns, "counts": counts}
+            return {"shard": [group.number]} | {k: [v] for k, v in found.items()}
+
+        return self.rounds.each(work, SHARD)
+
+    def dictionary(self) -> DataFrame:
+        """word, number: the columns of the matrix."""
+        parts = self.parts
+
+        def work(group: Group) -> dict:
+            terms = Terms(group, parts)
+            return {"word": terms.words.cast(pa.large_string()), "number": terms.numbers(group)}
+
+        return self.rounds.each(work, "word string, number bigint").distinct()
+
+    def facts(self) -> DataFrame:
+        """A row per document: its source, row sum, nonzero entries, and what the other filters ask."""
+        parts = self.parts
+
+        def work(group: Group) -> dict:
+            terms = Terms(group, parts)
+            n_words, n_distinct = row_sums(*terms.rows(group))
+            data, offsets = terms.data, terms.offsets
+            return {
+                "doc_id": group.doc_ids, "part": group.carried["source"].fill_null(""),
+                "n_words": n_words, "n_distinct": n_distinct,
+                "n_points": per_text((data & 0xC0) != 0x80, offsets),
+                "n_capitals": per_text((data >= 65) & (data <= 90), offsets),
+                "has_sign": per_text(IS_SIGN[data], offsets) > 0, "copy": group.copy,
+            }
+
+        return self.rounds.each(work, ROW)
 
 
 def row_sums(starts: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and number of nonzero entries of every compressed sparse row; a column counts once in a row."""
-    upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((columns, row))
-    new = np.ones(len(order), bool)
-    new[1:] = (row[order][1:] != row[order][:-1]) | (columns[order][1:] != columns[order][:-1])
-    nonzero = np.bincount(row[order][new & (counts[order] > 0)], minlength=len(starts) - 1)
-    return upto[starts[1:]] - upto[starts[:-1]], nonzero.astype(np.int64)
+    """Sum and number of nonzero entries of every compressed sparse row; a column stands once in a row."""
+    assert len(columns) == len(counts)
+    sums, nonzero = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (counts, counts > 0))
+    return sums[starts[1:]] - sums[starts[:-1]], nonzero[starts[1:]] - nonzero[starts[:-1]]
 
 
 def failures(docs: DataFrame) -> DataFrame:
     """doc_id, part, fails: the set of filters that each document fails, as bits in the order of ``LETTERS``."""
-    shards = durable(local_shards(docs))
-    facts = durable(matrix_rows(shards, durable(dictionary(shards))))
-    id_ = F.coalesce("doc_id", F.lit(LEAST))
-    # Only texts that are there twice; as a written table its size is known, and a hot text is split in the join.
-    first = facts.groupBy("sha").agg(F.min(id_).alias("first"), F.max(id_).alias("last")).filter("first < last")
-    known = facts.join(durable(first.select("sha", "first")), "sha", "left")
+    facts = Matrix(docs).facts()
     tests = [
         F.col("n_words") < LEAST_WORDS,
         F.col("n_distinct") * 100 < F.col("n_words") * LEAST_DISTINCT,
         F.col("n_capitals") * 100 > F.col("n_points") * MOST_CAPITALS,
         F.col("has_sign"),
-        F.coalesce(id_ > F.col("first"), F.lit(False)),
+        F.col("copy"),
     ]
     bits = [F.when(test, 1 << i).otherwise(0) for i, test in enumerate(tests)]
-    return known.select("doc_id", "part", sum(bits[1:], bits[0]).alias("fails"))
+    return facts.select("doc_id", "part", sum(bits[1:], bits[0]).alias("fails"))
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,7 +200,8 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"),
         F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"),
     )
-    marked = failures(docs).join(durable(marks), F.col("doc_id") == F.col("id"), "left")
+    # Both sides are written, so that rows which share an id are split in the join.
+    marked = durable(failures(docs)).join(durable(marks), F.col("doc_id") == F.col("id"), "left")
     sets = marked.groupBy("part", "fails").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("good", F.lit(0))).alias("good"), F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic")
     )

@@ -6,15 +6,19 @@ stretches of my texts are known elsewhere? Texts are dealt once over groups of a
 hashes to the parts that hold them (a part owns a range of hash values); a part answers
 with a bit per hash and the group goes on from its own texts and the answers. As a group
 sends a hash once however often it has it, a hash that is everywhere costs a part no more
-rows than there are groups. All rounds read the same exchange of the texts.
+rows than there are groups.
 
-Questions and answers are binary columns. What asks and what answers are pure functions
-of their input, so a lost task is simply run again.
+The dealt texts are written once as a bucketed table in the shared folder, so a round reads
+them where they lie and exchanges nothing but messages; its answers are written too. So every
+round is a plan of its own, as small as the first, and a lost executor never costs more than
+the round at hand. Questions and answers are binary columns, and what asks and what answers
+are pure functions of their input.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,9 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from whence.session import cleaned, durable, scratch_dir
+
 #: Text bytes of a group, and text bytes for which there is one part.
 GROUP_BYTES = 2 << 20
 PART_BYTES = 4 << 20
+#: Text bytes for which there is one task, unless the session asks for more tasks, and most buckets of a table.
+TASK_BYTES = 64 << 20
+BUCKETS = 100_000
 #: Order value of a NULL id: it counts as the smallest.
 LEAST = -(2**63)
 
@@ -102,13 +111,18 @@ class Rounds:
         self.groups = max(1, -(-self.bytes // GROUP_BYTES))
         self.parts = max(1, -(-self.bytes // PART_BYTES))
         group = F.pmod(F.xxhash64("id"), F.lit(self.groups)).alias("g")
-        self.width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.docs = docs.select(group, "doc_id", "id", "text", *carried.values()).repartition(self.width, "g")
+        spark = docs.sparkSession
+        self.width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-self.bytes // TASK_BYTES), BUCKETS))
+        table = f"texts_{uuid.uuid4().hex}"
+        dealt = docs.select(group, "doc_id", "id", "text", *carried.values()).repartition(self.width, "g")
+        with cleaned(spark):
+            dealt.write.bucketBy(self.width, "g").option("path", scratch_dir(spark, table)).saveAsTable(table)
+        self.docs = spark.table(table)
         self.number = 0
-        self.notes = _copies(docs).select(
-            group, F.lit(0).alias("round"), F.lit(0).cast("bigint").alias("part"), F.col("id").alias("id"),
-            F.col("sha").alias("data"),
-        )
+        copies = _copies(self.docs).select(
+            "g", F.lit(0).alias("round"), F.lit(0).cast("bigint").alias("part"), "id", F.col("sha").alias("data")
+        )
+        self.notes = durable(copies)
 
     def each(self, work: Callable[[Group], dict], schema: str) -> DataFrame:
         """The rows of ``work`` (columns by name) for every group with the answers so far."""
@@ -155,14 +169,15 @@ class Rounds:
 
         asked = self.each(questions, "g bigint, part bigint, data binary")
         answered = asked.repartition(self.width, "part").groupBy("part").applyInArrow(answers, NOTE)
-        self.notes = self.notes.unionByName(answered)
+        self.notes = self.notes.unionByName(durable(answered))
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """id, sha: the rows whose text a row with a smaller id has too."""
-    keyed = docs.select("id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    """g, id, sha: the rows whose text a row with a smaller id has too."""
+    keyed = durable(docs.select("g", "id", F.unhex(F.sha2("text", 256)).alias("sha")).distinct())
     shared = keyed.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return keyed.join(shared.select("sha", "first"), "sha").filter(F.col("id") > F.col("first")).select("id", "sha").distinct()
+    # Both sides are written, so a text that very many rows share is split in the join.
+    return keyed.join(durable(shared.select("sha", "first")), "sha").filter(F.col("id") > F.col("first")).select("g", "id", "sha")
 
 
 def marked(ids: np.ndarray, texts: pa.ChunkedArray, copies: pa.Table) -> np.ndarray:
