@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whence.llm.kernels import LOWER_VALUES, Prefix, Words, buffers, distinct, mix, ranges, window_starts
+from whence.llm.kernels import Prefix, Words, buffers, distinct, mix, ranges, window_starts
+from whence.llm.components import connected_components
 from whence.llm.rounds import Group, Rounds, split
-from whence.operators.codependence import connected_components
 from whence.session import durable
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ def shingles(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text (ascending per text) and their offsets."""
     data, offsets = buffers(texts)
     words = Words(data, offsets)
-    prefix = Prefix(words.values(data, LOWER_VALUES))
+    prefix = Prefix(words.digests(data, lower=True)[:, 0])
     at = np.flatnonzero(window_starts(words.firsts, size))
     short = np.flatnonzero((words.counts > 0) & (words.counts < size))
     hashes = np.r_[prefix.hashes(at, at + size), prefix.hashes(words.firsts[short], words.firsts[short + 1])]

@@ -3,13 +3,16 @@
 All functions take the UTF-8 bytes of a batch of texts laid end to end and the
 offsets of the texts. Hashes are polynomial prefix sums modulo 2**64 over random
 64-bit values of the bytes, so the hash of any stretch costs two subtractions; the
-result is mixed so that its high bits are fit for partitioning.
+result is mixed so that its high bits are fit for partitioning. Such sums can cancel in
+stretches of 1,024 elements or more that are made for it, so they serve short stretches
+(windows of words or bytes) and features; words are told apart by ``Words.digests``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -20,6 +23,8 @@ _RNG = np.random.default_rng(20240607)
 BYTE_VALUES = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[ord("A") : ord("Z") + 1] += 32
 BASE = int(_RNG.integers(2**60, 2**64, dtype=np.uint64)) | 1
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -109,9 +114,23 @@ class Words:
         self.counts = np.diff(self.firsts)
 
     def values(self, data: np.ndarray, table: np.ndarray = BYTE_VALUES) -> np.ndarray:
-        """A 64-bit value per word."""
+        """A 64-bit value per word, for tables and features; very long words can be made to share one."""
         return Prefix(table[data]).hashes(self.starts, self.ends)
 
+    def digests(self, data: np.ndarray, lower: bool = False) -> np.ndarray:
+        """Two 64-bit values per word from a 128-bit hash of the whole word (A-Z in lower case on request).
+
+        Distinct words are hashed once per batch. Unlike sums over bytes, whose differences cancel in
+        words that are built for it, they tell words of any length apart.
+        """
+        letters = LOWER_BYTES[data] if lower else data
+        ends = np.concatenate([[0], np.cumsum(self.ends - self.starts, dtype=np.int64)])
+        kept = pa.py_buffer(letters[~IS_SEPARATOR[data]])
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), kept])
+        coded = words.dictionary_encode()
+        hashed = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+        return np.frombuffer(hashed, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+
 
 def window_starts(firsts: np.ndarray, length: int) -> np.ndarray:
     """True at each element from which ``length`` elements lie in one text."""

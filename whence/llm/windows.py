@@ -7,9 +7,10 @@ so each level carries the survivors alone. At the last level the holder of a win
 knows the smallest id that has it, and a word goes if a window over it also starts in a
 document with a smaller id.
 
-Windows are compared by 64-bit hashes within a group and 96-bit ones across groups; on
-the lower levels 32 bits beyond those that choose the part do, as a false survivor only
-costs a further look.
+A word stands for 128 bits of a hash of the whole of it, a window for sums over two halves of
+these. At the last level windows are compared by both sums, 64 bits of the one and 32 of the
+other; on the lower levels 32 bits beyond those that choose the part do, as a false survivor
+only costs a further look.
 
 NULL and empty texts have no words. Texts of fewer words than the window keep them all.
 Equal rows (same id) never remove from each other; a NULL id counts as the smallest.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from whence.llm.kernels import Prefix, Words, buffers, covered, distinct, mix, window_starts
+from whence.llm.kernels import Prefix, Words, buffers, covered, distinct, window_starts
 from whence.llm.rounds import Group, Rounds, repeated, split
 
 WINDOW = 13
@@ -49,8 +50,8 @@ class Doubling:
     def read(self, group: Group) -> None:
         self.data, self.offsets = buffers(group.own())
         self.words = Words(self.data, self.offsets)
-        values = self.words.values(self.data)
-        self.prefix, self.second = Prefix(values), Prefix(mix(values ^ np.uint64(0x5851F42D4C957F2D)))
+        values = self.words.digests(self.data)
+        self.prefix, self.second = Prefix(values[:, 0]), Prefix(values[:, 1])
 
     def candidates(self, group: Group, level: int) -> np.ndarray:
         """Starts (word numbers) of the windows of a level that may be repeated."""
@@ -81,12 +82,21 @@ class Doubling:
             unique = distinct(hashes)
             return [(p, unique[a:b].astype("<u4").tobytes()) for p, a, b in split(unique, self.parts)]
         # Texts stand in the order of their ids, so the first start is that of the smallest id.
-        unique, first = np.unique(hashes, return_index=True)
-        at = at[first]
-        more = self.second.hashes(at, at + self.lengths[level]).astype("<u4")
-        ids = group.ids[np.searchsorted(self.words.firsts, at, side="right") - 1].astype(self.id_type)
+        unique, more, first, _ = self.windows(at, hashes)
+        ids = group.ids[np.searchsorted(self.words.firsts, at[first], side="right") - 1].astype(self.id_type)
         return [(p, unique[a:b].tobytes() + more[a:b].tobytes() + ids[a:b].tobytes()) for p, a, b in split(unique, self.parts)]
 
+    def windows(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the last level: both sums of each different window (ascending), the first place of it, and the window of each place."""
+        more = self.second.hashes(at, at + self.lengths[-1]).astype("<u4")
+        order = np.lexsort((np.arange(len(at)), more, hashes))
+        opens = np.ones(len(order), bool)
+        opens[1:] = (np.diff(hashes[order]) != 0) | (np.diff(more[order]) != 0)
+        first = order[opens]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(opens) - 1
+        return hashes[first], more[first], first, of
+
     def answer(self, sent: list[bytes]) -> list[bytes]:
         """A bit per window: does a group hold it under a smaller id than this one does?"""
         width = np.dtype(self.id_type).itemsize
@@ -117,7 +127,7 @@ class Doubling:
         self.cache = {}
         last = len(self.lengths) - 1
         at, hashes = self.hashed(group, last)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        unique, _, first, back = self.windows(at, hashes)
         known = group.bits(last + 1, [b - a for _, a, b in split(unique, self.parts)])
         ids = group.ids[np.searchsorted(self.words.firsts, at, side="right") - 1]
         gone = at[known[back] | (ids > ids[first][back])]
