@@ -47,12 +47,38 @@ BATCH_BYTES = 8 << 20
 PARTITION_BYTES = 12 << 20
 END_ID = 0
 
-#: Chunks whose ids a worker keeps; beyond that it starts anew. Only speed depends on it.
-CACHE_CHUNKS = 600_000
+#: Chunks of a generation of a worker's cache; it keeps two, the older of which holds those that
+#: the younger has not met again yet, and is dropped when the younger is full. Only speed depends on it.
+GENERATION = 300_000
 
 _CACHES: dict = {}
 
 
+class Generation:
+    """Chunks and their ids, laid end to end in arrays that double."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.flat, self.ends, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, size = len(self.codes), len(chunks)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(ids), len(self.flat)), np.uint32)])
+        if n + size + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends[: n + 1], np.empty(max(size, len(self.ends)), np.int64)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        np.cumsum(lengths, out=self.ends[n + 1 : n + 1 + size])
+        self.ends[n + 1 : n + 1 + size] += self.used
+        self.used += len(ids)
+        self.codes.update(zip(chunks, range(n, n + size)))
+
+    def of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk start, and how many they are."""
+        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        return self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+
+
 class Chunks:
     """A tokenizer and the ids of the chunks it has met."""
 
@@ -65,24 +91,25 @@ class Chunks:
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token)
-        self.codes: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.young, self.old = Generation(), Generation()
 
     def of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the distinct chunks: all known ids, and where each chunk's start and how many they are."""
-        if len(self.codes) + len(chunks) > CACHE_CHUNKS:
-            self.codes, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        new = [c for c in chunks if c not in self.codes]
-        if new:
+        if len(self.young.codes) > GENERATION:
+            self.young, self.old = Generation(), self.young
+        young, old = self.young.codes, self.old.codes
+        missing = [c for c in chunks if c not in young]
+        if known := [c for c in missing if c in old]:
+            starts, lengths = self.old.of(known)
+            self.young.add(known, self.old.flat[ranges(starts, lengths)], lengths)
+        if new := [c for c in missing if c not in young]:
             # Those that start with a space and end with a visible ASCII character can stand in a row.
-            rows = [c for c in new if c[0] == " " and "!" <= c[-1] <= "~"]
-            for some, found in (self.in_rows(rows), self.alone([c for c in new if not (c[0] == " " and "!" <= c[-1] <= "~")])):
-                self.codes.update(zip(some, range(len(self.codes), len(self.codes) + len(some))))
-                self.flat = np.r_[self.flat, found[0]]
-                self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(found[1])]
-        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
-        return self.flat, self.ends[codes], self.ends[codes + 1] - self.ends[codes]
-
+            can = [c[0] == " " and "!" <= c[-1] <= "~" for c in new]
+            for some, found in (
+                self.in_rows([c for c, row in zip(new, can) if row]), self.alone([c for c, row in zip(new, can) if not row])
+            ):
+                self.young.add(some, *found)
+        return self.young.flat, *self.young.of(chunks)
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
