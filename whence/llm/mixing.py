@@ -83,7 +83,9 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, Column], epoch
 def mixed(
     docs: DataFrame, domain: Column, budget: Column, weights: dict[str, Column], epochs: int = 2, seed: int = 7
 ) -> DataFrame:
-    """``docs`` with a row for every epoch that takes the document, and the column ``epoch``.
+    """``docs`` with a row for every epoch that takes the document, and the columns ``mix_domain`` and ``epoch``.
+
+    Columns of ``docs`` that have these two names give way to them; all others are kept as they are.
 
     ``domain`` is an expression on the columns of ``docs``; ``weights`` holds expressions on
     the columns domain, lang_ and source_ for each of these levels, whole and not negative.
@@ -116,14 +118,15 @@ def mixed(
 
     # One row per leaf; as a written table its size is known, so Spark broadcasts it below its own threshold only.
     plan = durable(shares.join(cuts, LEAF, "left"))
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in LEAF], F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    on = [leaf[c] == F.col(f"__{c}") for c in LEAF]
-    extra = F.when(key_of(seed, F.col("__whole")) <= F.col("__cut"), 1).otherwise(0)
-    copies = F.col("__whole") + extra
-    taken = docs.join(plan, on).withColumn("__copies", copies).filter("__copies > 0")
-    epoch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__copies") - 1))
-    kept = [F.col(c) for c in docs.columns if c != "epoch"]
-    return taken.select(*kept, F.col("__domain").alias("__d"), epoch.alias("epoch")).withColumnRenamed("__d", "mix_domain")
+    plan = plan.select(*[F.col(c).alias(f"of_{c}") for c in LEAF], "whole", "cut")
+    # The rows travel as one column, so that no name of theirs can meet one of these.
+    kept = [c for c in docs.columns if c not in ("mix_domain", "epoch")]
+    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), "doc_id", *[c.alias(n) for n, c in leaf.items()])
+    extra = F.when(key_of(seed, F.col("whole")) <= F.col("cut"), 1).otherwise(0)
+    on = [F.col(c) == F.col(f"of_{c}") for c in LEAF]
+    taken = rows.join(plan, on).withColumn("copies", F.col("whole") + extra).filter("copies > 0")
+    epoch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))
+    return taken.select("row", "domain", epoch.alias("epoch")).select("row.*", F.col("domain").alias("mix_domain"), "epoch")
 
 
 #: Production parameters: sources ending in an even digit form one domain, the others another.
