@@ -10,7 +10,10 @@ hashes (seed, doc_id, p), so segmentations do not depend on how rows are dealt o
 
 No piece of a model with leading spaces reaches over a space that follows another
 character, so the lattice falls into chunks there, and sums are worked out once for each
-distinct chunk of a batch; the draws are made for every occurrence.
+distinct chunk of a batch; the draws are made for every occurrence. Where a text has over
+``LONGEST`` bytes without such a place, all paths are made to meet after every so many, at the
+start of a character; so neither time nor memory depends on how long a text or a word is,
+beyond some twenty bytes for each byte of the text.
 
 As SentencePiece does, encoding puts one space before the text and decoding takes it off.
 Pieces spell their bytes, and the mark U+2581 in a text is spelt in byte pieces, so decoding
@@ -32,6 +35,9 @@ from whence.llm.token_files import slices
 
 MARK = "▁"
 SLICE_BYTES = 3 << 18
+#: Bytes of text whose lattice is held at once, and bytes of the longest chunk.
+WINDOW_BYTES = 1 << 20
+LONGEST = 4096
 #: Log weight of a byte piece; below any way through whole pieces of a few bytes.
 BYTE_WEIGHT = -30.0
 SHARPNESS = 1.5
@@ -164,19 +170,44 @@ def encode(pieces: Pieces, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarra
     cut = np.zeros(len(data) + 1, bool)
     cut[1 : len(data)] = (data[1:] == 0x20) & (data[:-1] != 0x20)
     cut[offsets] = True
-    cuts = np.flatnonzero(cut)
-    if len(cuts) < 2:
-        return np.zeros(0, np.int32), offsets
+    cuts = shorter(data, np.flatnonzero(cut))
+    out = np.full(len(data), -1, np.int32)
+    first = 0
+    while first < len(cuts) - 1:
+        last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + WINDOW_BYTES, side="right")) - 1)
+        sample(pieces, data, cuts[first : last + 1], offsets, keys, out)
+        first = last
+    chosen = out >= 0
+    # Every text has its leading space, so none is empty here.
+    counts = np.add.reduceat(chosen, offsets[:-1], dtype=np.int64) if len(sizes) else sizes
+    return out[chosen], np.r_[0, np.cumsum(counts)]
+
+
+def shorter(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """``cuts`` and more inside chunks of over ``LONGEST`` bytes, at starts of characters."""
+    lengths = np.diff(cuts)
+    long = np.flatnonzero(lengths > LONGEST)
+    if not len(long):
+        return cuts
+    more = ranges(np.zeros(len(long), np.int64), (lengths[long] - 1) // LONGEST) + 1
+    more = np.repeat(cuts[long], (lengths[long] - 1) // LONGEST) + more * LONGEST
+    for _ in range(3):
+        more = more + ((data[np.minimum(more, len(data) - 1)] & 0xC0) == 0x80)
+    return np.unique(np.concatenate([cuts, np.minimum(more, len(data))]))
+
+
+def sample(pieces: Pieces, data: np.ndarray, cuts: np.ndarray, offsets: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+    """Puts the drawn piece ids of the chunks between ``cuts`` at their starts in ``out``."""
+    begin_, end_ = int(cuts[0]), int(cuts[-1])
     chunks = pa.Array.from_buffers(
-        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]
+        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts - begin_).astype(np.int64)), pa.py_buffer(data[begin_:end_])]
     ).dictionary_encode()
     known, spots = buffers_of(chunks.dictionary)
     lattice = Lattice(pieces, known, spots)
     code = chunks.indices.to_numpy()
     # Backward sampling: every chunk from its last node to its first.
-    out = np.full(len(data), -1, np.int32)
     text = np.searchsorted(offsets, cuts[:-1], side="right") - 1
-    start, base, key = cuts[:-1], lattice.base[code], keys[text] ^ np.uint64(0)
+    start, base, key = cuts[:-1], lattice.base[code], keys[text]
     node = base + np.diff(cuts)
     begin = offsets[text]
     while len(node):
@@ -192,8 +223,6 @@ def encode(pieces: Pieces, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarra
         left = node > base
         if not left.all():
             start, base, key, node, begin = start[left], base[left], key[left], node[left], begin[left]
-    chosen = out >= 0
-    return out[chosen], np.r_[0, np.cumsum(chosen)][offsets]
 
 
 def buffers_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
