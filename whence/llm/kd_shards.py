@@ -74,17 +74,12 @@ class Tree:
             if not isinstance(docs.schema[name].dataType, T.NumericType):
                 values = slim.select(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("value")).distinct()
                 self.codes[name] = durable(dense_index(values, ["value"], "code"))
-        points = self.points(slim)
-        points = durable(points.select(*FOUND.values(), *self.axes))
+        self.bytes = slim.agg(F.sum(FOUND["size"])).first()[0] or 0
+        self.leaves = leaves or max(1, -(-self.bytes // (target_bytes or 1 << 28)))
+        points = durable(self.points(slim).select(*FOUND.values(), *self.axes))
         low = F.col(FOUND["id"]).bitwiseAND(F.lit(LOW))
         high = F.shiftright(FOUND["id"], 32)
-        seen = points.agg(
-            F.sum(FOUND["size"]).alias("bytes"), *[f(c).alias(n) for n, f, c in self._extents(low, high)]
-        ).first()
-        self.bytes = seen["bytes"] or 0
-        if leaves is None:
-            leaves = max(1, -(-self.bytes // (target_bytes or 1 << 28)))
-        self.leaves = leaves
+        seen = points.agg(*[f(c).alias(n) for n, f, c in self._extents(low, high)]).first()
         #: Least and largest of each coordinate and of the halves of the id.
         self.extent = {c: (seen[f"least_{c}"], seen[f"most_{c}"]) for c in [*self.axes, "high", "low"]}
         #: Rounds that every cut needs at most.
@@ -92,7 +87,7 @@ class Tree:
         widths += [self.extent[c][1] - self.extent[c][0] if self.bytes else 0 for c in ("high", "low")]
         self.rounds = sum(rounds_for(w) for w in widths) + (widths[2] == 0)
         self.levels: list[DataFrame] = []
-        while self.bytes and 1 << len(self.levels) < leaves:
+        while self.bytes and 1 << len(self.levels) < self.leaves:
             self.levels.append(self._cuts(self._walk(points)))
 
     @property
@@ -114,15 +109,16 @@ class Tree:
             else:
                 number = F.coalesce(F.col(name), F.lit(0)).cast("double")
                 docs = docs.withColumn(axis, F.greatest(F.least(number, F.lit(float(MOST))), F.lit(0.0)).cast("bigint"))
+        # The root's number is a column, as joins on a literal would be planned without a key.
+        root = F.pmod(F.xxhash64("doc_id"), F.lit(1)).cast("int")
         return docs.withColumn(FOUND["id"], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST))).withColumns(
-            {FOUND["first"]: F.lit(0), FOUND["leaves"]: F.lit(getattr(self, "leaves", 0))}
+            {FOUND["first"]: root, FOUND["leaves"]: F.lit(self.leaves)}
         )
 
     def _walk(self, points: DataFrame) -> DataFrame:
         """The points at their nodes, below all levels so far; a node is named by its first shard."""
         first, leaves, id_ = FOUND["first"], FOUND["leaves"], FOUND["id"]
         kept = points.columns
-        points = points.withColumn(leaves, F.lit(self.leaves)).withColumn(first, F.lit(0))
         for cuts in self.levels:
             named = cuts.selectExpr(*[f"{c} as __kd_{c}" for c in ("node", "dim", "at", "cut", "takes")])
             x = f"element_at(array({', '.join(self.axes)}), __kd_dim + 1)"
