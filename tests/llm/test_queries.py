@@ -1,10 +1,10 @@
 """The registered queries against their SQL, and the pipeline's stages on the smallest table."""
 
-import duckdb
 import pytest
 
 import corpus_pipeline
 from __spark_entry__ import queries
+from tests.oracle import compare, connect
 from whence.llm.queries import QUERIES, SQL
 from whence.session import durable
 
@@ -13,20 +13,18 @@ PATH = "/root/testdata/sf0.001"
 
 def test_names():
     known = queries()
-    assert "pipeline" in known and all(any(n.startswith(f"op{i}_") for n in known) for i in range(1, 11))
+    assert "pipeline" in known and all(any(n.startswith(f"op{i}_") for n in known) for i in range(1, 14))
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(PATH)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_sql(spark, name):
-    found = QUERIES[name](spark, PATH).toPandas()
-    db = duckdb.connect()
-    for table in ("documents", "embeddings"):
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{PATH}/{table}.parquet'")
-    want = db.execute(SQL[name]).df()
-    columns = sorted(found.columns)
-    assert columns == sorted(want.columns)
-    rows = [sorted(map(tuple, df[columns].astype(str).values.tolist())) for df in (found, want)]
-    assert rows[0] == rows[1]
+def test_sql(spark, con, name):
+    found = compare(spark, con, name, PATH, QUERIES[name], SQL[name])
+    assert found["ok"], found["why"]
 
 
 def test_pipeline(spark):
