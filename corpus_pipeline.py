@@ -22,23 +22,43 @@ from whence.session import durable
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (a score of at least 0.7)."""
+def own_columns(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of ``documents`` alone: others are not carried, whatever their names.
+
+    All stages take NULLs in any column and an empty table: a NULL text counts as empty, a NULL id
+    as the smallest one (as a key of its own where it seeds a draw), a NULL language or source as ''.
+    Repeated rows are rows of their own, except that near copies of one id stay or go together.
+    """
     prepared(spark)
+    return docs.select(*COLUMNS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts (a score of at least 0.7); an empty text is scored like any other.
+
+    Without labelled rows to learn from, as in an empty table, nothing is kept.
+    """
+    docs = own_columns(spark, docs)
     return scored(docs, fit(docs, labels(spark, sf_dir)), COLUMNS[1:]).filter("predicted = 1").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; rows of that id all stay."""
-    prepared(spark)
+    """Of each group of near copies the document with the least id; rows of that id all stay.
+
+    Documents without words are near copies of nothing.
+    """
+    docs = own_columns(spark, docs)
     found = components(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(*COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without 100-byte strings that start earlier; documents of which nothing is left go."""
-    prepared(spark)
+    """Texts without 100-byte strings that start earlier; documents of which nothing is left go.
+
+    A text that was empty before stays; n_chars is counted anew.
+    """
+    docs = own_columns(spark, docs)
     found = kept_bytes(docs, carry=("lang", "source")).filter("n_removed = 0 or kept <> ''")
     return found.select(
         "doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars")
@@ -46,13 +66,14 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every epoch in which a document is taken."""
+    """A row for every epoch in which a document is taken; sources without words give nothing."""
+    docs = own_columns(spark, docs)
     return production(docs).select(*COLUMNS)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of a sampled segmentation."""
-    prepared(spark)
+    """doc_id and the ids of a sampled segmentation; equal rows have equal ids."""
+    docs = own_columns(spark, docs)
     return sampled_pieces(docs, vocabulary("piece_bpe_32k.model"))
 
 
