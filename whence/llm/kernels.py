@@ -117,16 +117,20 @@ class Words:
         """A 64-bit value per word, for tables and features; very long words can be made to share one."""
         return Prefix(table[data]).hashes(self.starts, self.ends)
 
-    def digests(self, data: np.ndarray, lower: bool = False) -> np.ndarray:
-        """Two 64-bit values per word from a 128-bit hash of the whole word (A-Z in lower case on request).
+    def digests(self, data: np.ndarray, lower: bool = False, which: np.ndarray | None = None) -> np.ndarray:
+        """Two 64-bit values per word (or per word of ``which``) from a 128-bit hash of the whole word, A-Z in lower case on request.
 
         Distinct words are hashed once per batch. Unlike sums over bytes, whose differences cancel in
         words that are built for it, they tell words of any length apart.
         """
-        letters = LOWER_BYTES[data] if lower else data
-        ends = np.concatenate([[0], np.cumsum(self.ends - self.starts, dtype=np.int64)])
-        kept = pa.py_buffer(letters[~IS_SEPARATOR[data]])
-        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), kept])
+        if which is None:
+            sizes, letters = self.ends - self.starts, data[~IS_SEPARATOR[data]]
+        else:
+            sizes = self.ends[which] - self.starts[which]
+            letters = data[ranges(self.starts[which], sizes)]
+        letters = LOWER_BYTES[letters] if lower else letters
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
         coded = words.dictionary_encode()
         hashed = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
         return np.frombuffer(hashed, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]

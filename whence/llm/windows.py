@@ -7,10 +7,10 @@ so each level carries the survivors alone. At the last level the holder of a win
 knows the smallest id that has it, and a word goes if a window over it also starts in a
 document with a smaller id.
 
-A word stands for 128 bits of a hash of the whole of it, a window for sums over two halves of
-these. At the last level windows are compared by both sums, 64 bits of the one and 32 of the
-other; on the lower levels 32 bits beyond those that choose the part do, as a false survivor
-only costs a further look.
+On the lower levels a word is a sum over its bytes and 32 bits beyond those that choose the
+part stand for a window: equal windows always survive, and a false survivor only costs a
+further look. At the last level every word of a window stands for 128 bits of a hash of the
+whole word, the window for sums over two halves of these, 64 bits of the one and 32 of the other.
 
 NULL and empty texts have no words. Texts of fewer words than the window keep them all.
 Equal rows (same id) never remove from each other; a NULL id counts as the smallest.
@@ -50,8 +50,7 @@ class Doubling:
     def read(self, group: Group) -> None:
         self.data, self.offsets = buffers(group.own())
         self.words = Words(self.data, self.offsets)
-        values = self.words.digests(self.data)
-        self.prefix, self.second = Prefix(values[:, 0]), Prefix(values[:, 1])
+        self.prefix = Prefix(self.words.values(self.data))
 
     def candidates(self, group: Group, level: int) -> np.ndarray:
         """Starts (word numbers) of the windows of a level that may be repeated."""
@@ -71,6 +70,12 @@ class Doubling:
     def hashed(self, group: Group, level: int) -> tuple[np.ndarray, np.ndarray]:
         if (level,) not in self.cache:
             at = self.candidates(group, level)
+            if level == len(self.lengths) - 1:
+                # What is left is told apart by hashes of whole words.
+                own = np.flatnonzero(covered(at, self.lengths[level], len(self.words.starts)))
+                values = np.zeros((len(self.words.starts), 2), np.uint64)
+                values[own] = self.words.digests(self.data, which=own)
+                self.prefix, self.second = Prefix(values[:, 0]), Prefix(values[:, 1])
             self.cache[(level,)] = at, self.prefix.hashes(at, at + self.lengths[level])
         return self.cache[(level,)]
 
