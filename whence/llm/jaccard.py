@@ -150,9 +150,13 @@ def blocks(rows: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, "a bigint, b bigint").distinct()
 
 
-def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def heads_of(sets: DataFrame) -> DataFrame:
+    """k1, k2, head: the least id of each set. Written, so that joins with a set that very many rows have are split."""
+    return durable(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("head")))
+
+
+def classes(sets: DataFrame, named: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, root): the least id of the class of each id whose class has another id that links."""
-    named = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("head"))
     nodes = durable(
         sets.filter("items is not null").join(named, ["k1", "k2"]).filter("id = head").select("id", "n", "items", "first")
     )
@@ -190,8 +194,8 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id reachable by links from the document."""
     sets = durable(sets_of(docs, size, percent))
-    roots = classes(sets, percent)
-    named = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("head"))
+    named = heads_of(sets)
+    roots = classes(sets, named, percent)
     slim = sets.select("doc_id", "id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     slim = slim.select("doc_id", "n", F.coalesce("head", "id").alias("a")).join(roots, "a", "left")
     # Only a NULL id stands for the least value; it is given back as NULL.
