@@ -9,6 +9,7 @@ from whence.functions import scalars as S
 from whence.operators.frame import LineageFrame
 from whence.plans.registry import LI_RID, query
 from whence.plans.skew import LIST_ROWS, bounded_lists, keyed_join
+from whence.session import durable
 from whence.sources.tables import ROW_KEYS, Tables
 
 LI_KEY = ROW_KEYS["lineitem"]
@@ -161,7 +162,8 @@ def low_mean_groups(t: Tables) -> DataFrame:
         .where("n > 2 AND mean < 12")
         .select("l_orderkey")
     )
-    kept = keyed_join(items.select(*LI_KEY), low, ["l_orderkey"], LI_KEY, "left_semi")
+    # Few rows of many, read for their counts and again for the lists.
+    kept = durable(keyed_join(items.select(*LI_KEY), low, ["l_orderkey"], LI_KEY, "left_semi"))
     lists = bounded_lists(kept, ["l_orderkey"], F.col("l_suppkey"), LI_KEY)
     return lists.select("l_orderkey", "part", F.array_join("items", ",").alias("suppliers"))
 

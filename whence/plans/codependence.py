@@ -9,6 +9,7 @@ from whence.functions.hashing import coin_sql
 from whence.operators import codependence as C
 from whence.operators.compare import coverage
 from whence.plans.registry import LI_RID, query
+from whence.session import durable
 from whence.sources.tables import Tables
 
 LI_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
@@ -150,10 +151,16 @@ def _capped(t: Tables) -> DataFrame:
 
 
 def _witnesses(t: Tables) -> tuple[DataFrame, DataFrame]:
-    relation = _capped(t)
+    # Written: every source's witnesses are read from it.
+    relation = durable(_capped(t))
     frames = [t.tagged(n) for n in ("customer", "orders", "lineitem")]
     sources = {f.legs[0].name: f.legs[0].source for f in frames}
-    return relation, C.row_map(C.witness_ids(relation, 3), sources)
+    return relation, durable(C.row_map(C.witness_ids(relation, 3), sources))
+
+
+def _whole(t: Tables) -> DataFrame:
+    """All key cells of the joins, written, as they meet the witnesses by address twice."""
+    return durable(C.consolidate(order_keys(t, None), supplier_groups(t)))
 
 
 MAP_SQL = f"""(SELECT 'customer' AS ds, c_custkey::varchar AS rid, row_number() OVER (ORDER BY c_custkey) - 1 AS row
@@ -176,7 +183,7 @@ def witness_reduce(t: Tables) -> DataFrame:
    UNION ALL SELECT * FROM ({SUPPLIER_GROUPS_SQL})) r JOIN {MAP_SQL} m USING (ds, rid)""")
 def codep_remap(t: Tables) -> DataFrame:
     relation, rows = _witnesses(t)
-    return C.remap(C.consolidate(order_keys(t, None), supplier_groups(t)), rows)
+    return C.remap(_whole(t), rows)
 
 
 @query(f"""SELECT ds, count(*) AS n FROM (SELECT group_id, op, ds, col, rid FROM ({ORDER_KEYS_SQL})
@@ -184,7 +191,7 @@ def codep_remap(t: Tables) -> DataFrame:
 def codep_left_out(t: Tables) -> DataFrame:
     """How many cells of each source stand in no witness row."""
     relation, rows = _witnesses(t)
-    rest = C.left_out(C.consolidate(order_keys(t, None), supplier_groups(t)), rows)
+    rest = C.left_out(_whole(t), rows)
     return rest.groupBy("ds").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from whence.functions.scalars import between_exclusive
 from whence.plans.registry import LI_RID, query
 from whence.plans.skew import with_group_stats
+from whence.session import durable
 from whence.sources.tables import ROW_KEYS, Tables
 
 NET_SQL = "l_extendedprice * (1 - l_discount)"
@@ -41,6 +42,8 @@ def tpcds_q1(t: Tables) -> DataFrame:
         .groupBy("o_custkey", "l_suppkey")
         .agg(F.sum(net()).alias("total"))
     )
+    # Written: the means join back to it, and its hot keys are looked for.
+    totals = durable(totals)
     compared = with_group_stats(totals, ["l_suppkey"], [F.avg("total").alias("mean")], ["o_custkey", "l_suppkey"])
     above = compared.where("total > 1.2 * mean").select(F.col("o_custkey").alias("c_custkey"))
     return t.customer.join(above, "c_custkey", "left_semi").select("c_custkey", "c_name").orderBy("c_custkey").limit(100)
@@ -112,7 +115,7 @@ def class_share(rows: DataFrame, parts: DataFrame) -> DataFrame:
         .groupBy("p_partkey", "p_type", "p_brand")
         .agg(F.sum("l_extendedprice").alias("total"))
     )
-    shared = with_group_stats(revenue, ["p_brand"], [F.sum("total").alias("of_class")], ["p_partkey"])
+    shared = with_group_stats(durable(revenue), ["p_brand"], [F.sum("total").alias("of_class")], ["p_partkey"])
     return (
         shared.select(
             "p_partkey", "p_type", "p_brand",
