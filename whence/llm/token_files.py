@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from whence.llm.kernels import IS_SEPARATOR, buffers, ranges
+from whence.llm.kernels import BYTE_VALUES, IS_SEPARATOR, Prefix, buffers, mix, ranges
 from whence.session import durable
 
 #: Settings of the Parquet writer: sizes in bytes, encodings, version 2 for delta encoding.
@@ -47,36 +47,51 @@ BATCH_BYTES = 8 << 20
 PARTITION_BYTES = 12 << 20
 END_ID = 0
 
-#: Chunks of a generation of a worker's cache; it keeps two, the older of which holds those that
-#: the younger has not met again yet, and is dropped when the younger is full. Only speed depends on it.
-GENERATION = 300_000
+#: Chunks whose ids a worker keeps, and bytes of the longest of them; beyond that number it starts
+#: anew. Only speed depends on both.
+KNOWN_CHUNKS = 2_000_000
+LONGEST_KNOWN = 64
 
+#: Other values of the bytes than those of the first hash.
+_SECOND = mix(BYTE_VALUES ^ np.uint64(0x5851F42D4C957F2D))
 _CACHES: dict = {}
 
 
-class Generation:
-    """Chunks and their ids, laid end to end in arrays that double."""
+class Known:
+    """Ids of chunks by two independent 64-bit hashes, some thirty bytes a chunk.
+
+    The hashes are sums over bytes, which tell stretches of up to ``LONGEST_KNOWN`` bytes apart;
+    longer chunks are not kept. Keys stand in order, so a batch is looked up by one search.
+    """
 
     def __init__(self):
-        self.codes: dict[str, int] = {}
-        self.flat, self.ends, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
-
-    def add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, size = len(self.codes), len(chunks)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(ids), len(self.flat)), np.uint32)])
-        if n + size + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends[: n + 1], np.empty(max(size, len(self.ends)), np.int64)])
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The place of each chunk, -1 for those that are not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[place] == keys) & (self.checks[place] == checks), place, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > KNOWN_CHUNKS:
+            self.__init__()
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        np.cumsum(lengths, out=self.ends[n + 1 : n + 1 + size])
-        self.ends[n + 1 : n + 1 + size] += self.used
+        at = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.codes.update(zip(chunks, range(n, n + size)))
-
-    def of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each chunk start, and how many they are."""
-        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
-        return self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+        order = np.argsort(keys, kind="stable")
+        order = order[np.r_[True, np.diff(keys[order]) != 0]] if len(order) else order
+        to = np.searchsorted(self.keys, keys[order])
+        # Of two chunks with one key the first stays; the other is encoded whenever it comes.
+        new = (to == len(self.keys)) | (self.keys[np.minimum(to, max(len(self.keys) - 1, 0))] != keys[order]) if len(self.keys) else np.ones(len(to), bool)
+        order, to = order[new], to[new]
+        self.keys, self.checks = np.insert(self.keys, to, keys[order]), np.insert(self.checks, to, checks[order])
+        self.at, self.sizes = np.insert(self.at, to, at[order]), np.insert(self.sizes, to, lengths[order])
 
 
 class Chunks:
@@ -91,35 +106,43 @@ class Chunks:
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token)
-        self.young, self.old = Generation(), Generation()
-
-    def of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the distinct chunks: all known ids, and where each chunk's start and how many they are."""
-        if len(self.young.codes) > GENERATION:
-            self.young, self.old = Generation(), self.young
-        young, old = self.young.codes, self.old.codes
-        missing = [c for c in chunks if c not in young]
-        if known := [c for c in missing if c in old]:
-            starts, lengths = self.old.of(known)
-            self.young.add(known, self.old.flat[ranges(starts, lengths)], lengths)
-        if new := [c for c in missing if c not in young]:
-            # Those that start with a space and end with a visible ASCII character can stand in a row.
-            can = [c[0] == " " and "!" <= c[-1] <= "~" for c in new]
-            for some, found in (
-                self.in_rows([c for c, row in zip(new, can) if row]), self.alone([c for c, row in zip(new, can) if not row])
-            ):
-                self.young.add(some, *found)
-        return self.young.flat, *self.young.of(chunks)
+        self.known = Known()
+
+    def of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks: an array of ids, and where each chunk's start and how many they are."""
+        data, offsets = buffers(chunks)
+        lengths = np.diff(offsets)
+        keys = Prefix(BYTE_VALUES[data]).hashes(offsets[:-1], offsets[1:])
+        checks = Prefix(_SECOND[data]).hashes(offsets[:-1], offsets[1:])
+        place = np.where(lengths <= LONGEST_KNOWN, self.known.find(keys, checks), -1)
+        hit, miss = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        at, sizes = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        sizes[hit] = self.known.sizes[place[hit]]
+        old = self.known.flat[ranges(self.known.at[place[hit]].astype(np.int64), sizes[hit])]
+        at[hit] = np.cumsum(sizes[hit]) - sizes[hit]
+        found, base = [old], len(old)
+        # Those that start with a space and end with a visible ASCII character can stand in a row.
+        last = data[np.maximum(offsets[1:][miss] - 1, 0)] if len(data) else data
+        can = (data[np.minimum(offsets[:-1][miss], len(data) - 1)] == 0x20) & (last >= 0x21) & (last <= 0x7E) if len(data) else miss > 0
+        for some, work in ((miss[can], self.in_rows), (miss[~can], self.alone)):
+            ids, counts = work(chunks.take(pa.array(some)).to_pylist())
+            sizes[some], at[some] = counts, base + np.cumsum(counts) - counts
+            keep = lengths[some] <= LONGEST_KNOWN
+            kept = ids if keep.all() else ids[np.repeat(keep, counts)]
+            self.known.add(keys[some][keep], checks[some][keep], kept, counts[keep])
+            found.append(ids)
+            base += len(ids)
+        return np.concatenate(found), at, sizes
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def alone(self, chunks: list[str]):
-        return chunks, self.encoded(chunks)
+    def alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encoded(chunks)
 
-    def in_rows(self, chunks: list[str]):
+    def in_rows(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``alone``, with many chunks to a text; tokens are told apart by their bytes."""
         ids, _ = self.encoded(["".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)])
         ends = np.cumsum([len(c.encode()) for c in chunks], dtype=np.int64)
@@ -127,7 +150,7 @@ class Chunks:
         last = np.searchsorted(token_ends, ends)
         if len(chunks) and (last[-1] >= len(ids) or not np.array_equal(token_ends[last], ends)):
             return self.alone(chunks)
-        return chunks, (ids, np.diff(last, prepend=-1))
+        return ids, np.diff(last, prepend=-1)
 
 
 def chunks_at(path: str) -> Chunks:
@@ -161,7 +184,7 @@ def encode(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray
     chunks = pa.Array.from_buffers(
         pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
-    flat, at, lengths = chunks_at(path).of(chunks.dictionary.to_pylist())
+    flat, at, lengths = chunks_at(path).of(chunks.dictionary)
     code = chunks.indices.to_numpy()
     ids = flat[ranges(at[code], lengths[code])]
     before = np.r_[0, np.cumsum(lengths[code])][np.searchsorted(cuts, offsets)]
