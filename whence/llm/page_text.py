@@ -298,7 +298,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_frame and n_settled of every page."""
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = pages.withColumn("key", key_of())
-    found = durable(frames(keyed))
+    found = frames(keyed)
     schema = "page_id bigint, url string, text string, n_chars bigint, n_frame bigint, n_settled bigint"
 
     def work(batches):
