@@ -6,6 +6,7 @@ import pytest
 
 from tests.conftest import as_set
 from tests.test_codependence import components
+from whence.functions import scalars as S
 from whence.operators import codependence as C
 
 CELLS = "group_id string, op string, ds string, col string, rid string"
@@ -51,3 +52,20 @@ def test_merged_groups_against_brute_force(rows):
         found.setdefault(root.get(("row", r), ("row", r)), set()).add(r)
     want = {(min(f"{r}|t" for r in rs), "t", r) for rs in found.values() for r in rs}
     assert as_set(C.merge_overlaps(rows(data, CELLS), unit=("ds", "rid"))) == want
+
+
+# -- checked arithmetic ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind, bits", S.INTEGER_BITS.items())
+def test_checked_results_at_the_ends(rows, kind, bits):
+    """No operation is tried that may fail: a failure costs an exception per row."""
+    top, root = 2 ** (bits - 1) - 1, 2 ** (bits // 2) // 2
+    values = [0, 1, -1, 2, -2, 3, -3, top, -top - 1, top - 1, -top, top // 2, top // 2 + 1, -(top // 2) - 1, root, -root, 2 * root - 1, None]
+    pairs = rows([(a, b) for a in values for b in values], f"a {kind}, b {kind}")
+    found = pairs.select("a", "b", *[S.checked(op, "a", "b", kind).alias(n) for op, n in zip("+-*", "sdp")])
+    assert [t for _, t in found.dtypes] == [kind] * 5
+    assert "try_" not in str(found._jdf.queryExecution().analyzed())
+    fits = lambda v: v if -top - 1 <= v <= top else None
+    for a, b, *got in found.collect():
+        assert got == ([None] * 3 if None in (a, b) else [fits(a + b), fits(a - b), fits(a * b)]), (a, b)

@@ -159,16 +159,44 @@ def floor_div(a: Column | str, b: Column | str) -> Column:
     return F.call_function("div", a, divisor) - F.when(below, 1).otherwise(0)
 
 
+# The integer types and their bits.
+INTEGER_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
 def checked(op: str, a: Column | str, b: Column | str, kind: str = "int", strict: bool = False) -> Column:
-    """``a op b`` (+, - or *) in the integer type ``kind``: NULL where it does not fit, or an error if ``strict``."""
+    """``a op b`` (+, - or *) in the integer type ``kind``: NULL where it does not fit, or an error if ``strict``.
+
+    Whether it fits is known before the sum or product is taken: one that fails costs an exception per row.
+    """
     a, b = as_col(a).cast(kind), as_col(b).cast(kind)
-    found = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)
+    top = 2 ** (INTEGER_BITS[kind] - 1) - 1
+    if kind == "bigint":
+        found = F.when(_fits(op, a, b), _applied(op, a, b))
+    else:
+        wide = _applied(op, a.cast("bigint"), b.cast("bigint"))
+        found = F.when(wide.between(-top - 1, top), wide.cast(kind))
     if not strict:
         return found
     known = a.isNotNull() & b.isNotNull() & found.isNull()
     return F.when(known, F.raise_error(F.lit(f"{kind} overflow in {op}"))).otherwise(found)
 
 
+def _applied(op: str, a: Column, b: Column) -> Column:
+    return {"+": a + b, "-": a - b, "*": a * b}[op]
+
+
+def _fits(op: str, a: Column, b: Column) -> Column:
+    """``a op b`` is a bigint; nothing in here can overflow."""
+    low, high = F.lit(-(2**63)), F.lit(2**63 - 1)
+    if op == "+":
+        return F.when(b >= 0, a <= high - b).otherwise(a >= low - b)
+    if op == "-":
+        return F.when(b >= 0, a >= low + b).otherwise(a <= high + b)
+    by = F.when((b < -1) | (b > 0), b)
+    ends = [F.call_function("div", end, by) for end in (low, high)]
+    return F.when(b > 0, a.between(*ends)).when(b < -1, a.between(*ends[::-1])).when(b == -1, a > low).otherwise(b == 0)
+
+
 def negated(a: Column | str, kind: str = "int", strict: bool = False) -> Column:
     """-a in the integer type ``kind``, checked: its least value has no counterpart."""
     return checked("-", F.lit(0), a, kind, strict)
