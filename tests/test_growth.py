@@ -3,11 +3,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import as_set
 from tests.test_codependence import components
 from whence.functions import scalars as S
 from whence.operators import codependence as C
+from whence.operators import influence as I
+from whence.operators.frame import tag
 
 CELLS = "group_id string, op string, ds string, col string, rid string"
 
@@ -69,3 +72,33 @@ def test_checked_results_at_the_ends(rows, kind, bits):
     fits = lambda v: v if -top - 1 <= v <= top else None
     for a, b, *got in found.collect():
         assert got == ([None] * 3 if None in (a, b) else [fits(a + b), fits(a - b), fits(a * b)]), (a, b)
+
+
+# -- trackers ------------------------------------------------------------------------------
+
+
+def kept_ends(mine, n):
+    """Rows (v, id) kept of one key; a row may come twice."""
+    if len(mine) <= 2 * n:
+        return sorted(mine, key=str)
+    known = [r for r in mine if r[0] is not None]
+    up, down = sorted(known), sorted(known, key=lambda r: (-r[0], r[1]))
+    return sorted({*up[:n], *down[:n]}, key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_extremes_of_small_and_large_groups(spark, parts):
+    """Which rows stay depends on the whole group, not on how its rows are dealt; no row costs a call."""
+    rng = random.Random(parts)
+    data = [(k, rng.choice([None, *range(6)]), i) for k in [None, *range(40)] for i in range(rng.randrange(1, 12))]
+    data += [(99, i % 1000, i) for i in range(3000)]
+    data += rng.sample(data, 60)
+    frame = tag(spark.createDataFrame(data, "k int, v int, id long").repartition(parts), "t", ["id"])
+    edges = frame.agg(["k"], I.extremes("v", 2), n=(F.count(F.lit(1)), [])).edges()
+    want = [(k, str(i)) for k in {r[0] for r in data} for _, i in kept_ends([r[1:] for r in data if r[0] == k], 2)]
+    assert sorted(map(tuple, edges.collect()), key=str) == sorted(want, key=str)
+    assert plan(edges).count("MapInArrow") == 2 and "FlatMapGroups" not in plan(edges)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
