@@ -136,12 +136,21 @@ def boxes_touch(a: Column, b: Column) -> Column:
     )
 
 
-def box_intersection(a: Column, b: Column) -> Column:
-    """Common rectangle, or NULL where the boxes are apart."""
+def common_box(a: Column, b: Column) -> Column:
+    """Common rectangle of boxes that touch."""
     x, y = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
     right = F.least(a["x"] + a["w"], b["x"] + b["w"])
     top = F.least(a["y"] + a["h"], b["y"] + b["h"])
-    return F.when(boxes_touch(a, b), box(x, y, top - y, right - x))
+    return box(x, y, top - y, right - x)
+
+
+def box_intersection(a: Column, b: Column) -> Column:
+    """Common rectangle, or NULL where the boxes are apart.
+
+    To filter many pairs, ask for ``boxes_touch`` first and take a field of the ``common_box``: below a
+    condition the rectangle is made whole for every pair.
+    """
+    return F.when(boxes_touch(a, b), common_box(a, b))
 
 
 def last_index_of(text: Column | str, char: str) -> Column:

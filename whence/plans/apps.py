@@ -313,7 +313,7 @@ def changed_box_overlaps(before: DataFrame, after: DataFrame) -> DataFrame:
     others = after.select("site", F.col("box_id").alias("other_id"), F.col("box").alias("other"), "box")
     others = on_tiles(others).drop("box")
     meets = on_tiles(changed).join(others, ["site", "tx", "ty"])
-    cut = S.box_intersection(F.col("other"), F.col("box"))
+    cut = S.common_box(F.col("other"), F.col("box"))
     corner = (S.floor_div(F.col("cut")["x"], F.lit(TILE)) == F.col("tx")) & (
         S.floor_div(F.col("cut")["y"], F.lit(TILE)) == F.col("ty")
     )
