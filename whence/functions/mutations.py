@@ -31,13 +31,18 @@ def wide_draw(rid: Column | str, tag: str, seed: int = 0) -> Column:
 def scramble(text: Column, h: Column, share: float) -> Column:
     """Replace about ``share`` of the characters by printable ones, never a comma."""
     limit = round(share * 1000)
+    printable = F.array(*[F.lit(c) for c in PRINTABLE])
 
-    def one(char: Column, i: Column) -> Column:
-        u = (h + (i.cast("bigint") + 1) * CHAR_STEP) % CHAR_FIELD
-        place = (F.floor(u / 1000) % len(PRINTABLE) + 1).cast("int")
-        return F.when(u % 1000 < limit, F.substr(F.lit(PRINTABLE), place, F.lit(1))).otherwise(char)
+    def all_of(draw: Column) -> Column:
+        def one(char: Column, i: Column) -> Column:
+            u = (draw + (i.cast("bigint") + 1) * CHAR_STEP) % CHAR_FIELD
+            place = F.call_function("div", u, F.lit(1000)) % len(PRINTABLE)
+            return F.when(u % 1000 < limit, F.get(printable, place.cast("int"))).otherwise(char)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+        return F.array_join(F.transform(F.split(text, ""), one), "")
+
+    # Bound to a variable, the draw is hashed once a text, not twice a character.
+    return F.transform(F.array(h), all_of)[0]
 
 
 def is_integer(text: Column) -> Column:

@@ -48,8 +48,10 @@ def with_rid(source: Source) -> DataFrame:
 def perturb(rows: DataFrame, columns: Sequence[str], change: Callable[[Column, Column, str], Column]) -> DataFrame:
     """Long form of changed cells: rid, col, before, after.
 
-    ``change(text, rid, column)`` gives the new text. ``rows`` has a ``rid``.
+    ``change(text, rid, column)`` gives the new text. ``rows`` has a ``rid``. The work is dealt evenly over
+    all cores, as a table of short rows is one split of a file, however many rows it has.
     """
+    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
     cells = [
         F.struct(
             F.lit(c).alias("col"),
