@@ -10,7 +10,11 @@ from tests.test_codependence import components
 from whence.functions import scalars as S
 from whence.operators import codependence as C
 from whence.operators import influence as I
+from whence.operators import perturb as P
 from whence.operators.frame import tag
+from whence.plans.tracked import box_overlaps
+from whence.sources import numbering
+from whence.sources.tables import Tables
 
 CELLS = "group_id string, op string, ds string, col string, rid string"
 
@@ -102,3 +106,52 @@ def test_extremes_of_small_and_large_groups(spark, parts):
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+# -- box pairs and changed texts -----------------------------------------------------------
+
+
+def test_pairs_of_boxes_are_compared_by_numbers(spark, rows, tmp_path):
+    """The common box is made of pairs that touch; conditions read its corner without making it."""
+    data = [(1, k, 1, k, 5.0, "R") for k in range(1, 9)]
+    lines = rows(data, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string")
+    lines.withColumn("l_shipdate", F.lit("1999-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    met = box_overlaps(Tables(spark, str(tmp_path))).df.where("cut.x > 100")
+    (join,) = [line for line in plan(met).splitlines() if "Join Inner" in line and "other_tx" in line]
+    assert join.count("CASE WHEN") == 2
+    corner = lambda k: k * 37 + 7
+    want = sum(
+        corner(a) <= corner(b) + 20 * b and corner(b) <= corner(a) + 20 * a and max(corner(a), corner(b)) > 100
+        for a in range(1, 9) for b in range(1, 9)
+    )
+    assert met.count() == want
+
+
+def test_changed_texts_are_dealt_and_drawn_once(spark, rows):
+    people = rows([(str(i), "some text") for i in range(50)], "rid string, name string").coalesce(1)
+    changed = P.perturb(people, ["name"], P.scramble_text())
+    assert changed.rdd.getNumPartitions() > 1
+    assert plan(changed).count("md5(") == 1
+
+
+# -- witnesses and contained groups --------------------------------------------------------
+
+
+def test_witness_rows_travel_as_keys(rows, monkeypatch):
+    write, seen = numbering.durable, []
+    monkeypatch.setattr(numbering, "durable", lambda df: seen.append(df.columns) or write(df))
+    wide = tag(rows([(i, i % 3, "wide", i) for i in range(9)], "id long, k long, note string, price long"), "t", ["id"])
+    ids = C.witness_ids(C.group_groups(wide, ["k"], "k"), 2)
+    assert as_set(C.row_map(ids, wide.sources)) == {("t", str(i), i) for i in range(6)}
+    assert seen == [["id", "__at"]]
+    whole = C.witness_rows(ids, wide.sources["t"])
+    assert whole.columns == ["id", "k", "note", "price", "rid", "row"] and whole.count() == 6
+
+
+def test_cells_of_contained_groups_are_written_twice_at_most(rows, written):
+    """Once distinct and once with the sizes of their groups; lists of cells are written once."""
+    data = [(f"l{i}", "==", "t", "k", str(10 * i + j)) for i in range(30) for j in range(10)]
+    data += [(f"s{i}", "==", "t", "k", str(10 * i + j)) for i in range(30) for j in range(4)]
+    assert as_set(C.drop_subsets(rows(data, CELLS)).select("group_id").distinct()) == {(f"l{i}",) for i in range(30)}
+    assert sum(n == len(data) for n, _ in written) == 2
+    assert sum("cells" in columns for _, columns in written) == 1
