@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tests.conftest import as_set
 from whence import tag
 from whence.operators import codependence as C
+from whence.plans import load
+from whence.plans.registry import QUERIES
+from whence.sources.tables import Tables
+
+load()
 
 
 def relation(rows, groups, op="=="):
@@ -126,6 +131,24 @@ def test_witnesses_are_renumbered_without_gaps(people):
     assert C.row_level(moved).count() == 6
 
 
+def test_witnesses_are_chosen_from_all_lines(spark, rows, tmp_path):
+    """No line item is left out before the choice; ids are ordered as numbers, those that are null last."""
+    keys = [(8 + j, supplier, supplier) for supplier in range(1, 21) for j in range(supplier % 5 + 1)]
+    keys += [(30, n, 21) for n in (None, 3, 2, 1)] + [(31, n, 22) for n in (None, 1)] + [(32, n, None) for n in (1, 2)]
+    lines = rows([(o, n, 5, s) for o, n, s in keys], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    lines = lines.withColumn("l_shipdate", F.lit("1999-01-01").cast("timestamp_ntz"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    rows([(o, 2) for o in (9, 10, 11, 12)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    ordered = sorted(keys, key=lambda k: [(x is None, x or 0) for x in k])
+    first = [k for i, k in enumerate(ordered) if sum(k[2] == other[2] for other in ordered[:i]) < 3]
+    text = lambda o, n, s: "-".join(str(x) for x in (o, n, 5, s, "1999-01-01") if x is not None)
+    want = {("lineitem", text(*k), i) for i, k in enumerate(first)} | {("customer", "2", 0)}
+    want |= {("orders", "9", 0), ("orders", "10", 1), ("orders", "11", 2)}
+    found = QUERIES["witness_reduce"].build(Tables(spark, str(tmp_path))).select("ds", "rid", "row")
+    assert found.count() == len(want) and as_set(found) == want
+
+
 def test_pick_group_is_one_group(people):
     c, o = people
     relation = C.join_groups(c, o, ("cid", "owner"), "k", None)
